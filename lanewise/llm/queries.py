@@ -6,12 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lanewise.llm.common import table
 from lanewise.llm.minhash import near_duplicates
+from lanewise.llm.packing import pack_documents
+from lanewise.llm.secrets import scan_documents
+from lanewise.llm.toxicity import score_documents
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = {"op7_minhash": op7_minhash}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op7_minhash": op7_minhash}
 
 ORACLE_SQL: dict[str, str] = {}

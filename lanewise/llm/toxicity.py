@@ -7,12 +7,13 @@ and unlabelled ones (U) on the class-prior-corrected risk
 
 whose second term, the risk of the unseen negatives, is kept from going below
 zero: where a batch takes it there, the step goes the other way. Features are
-whether a text holds a word or a five-byte piece of a word; those kept tell P
-from U best on the training sample.
+whether a text holds a word, or a word with one of some beginnings, which
+stand for stems; those kept tell P from U best on the training sample.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,8 +27,10 @@ from lanewise.llm.common import drop, small_batches, utf8, written
 
 #: Bounds of the training sample: documents drawn by the hash of their id, in expectation. Scoring has no such bound.
 MOST_POSITIVE, MOST_UNLABELLED = 4_000, 12_000
-FEATURES, PIECE, LEAST_DOCS = 1024, 5, 3
+FEATURES, BEGINNINGS, LEAST_DOCS, LEAST_RATIO = 1024, (4, 5, 6), 3, 2.0
 THRESHOLD = 0.3
+#: The prior is taken as this share of what the labels show: an estimate that is too high makes the negatives' risk negative at the right answer.
+PRIOR_SHARE = 0.75
 CACHE = 400_000
 
 #: ASCII letters in lower case, digits and all other bytes as they are, the rest of ASCII as space.
@@ -35,9 +38,8 @@ AS_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or
 
 
 def word_features(word: bytes) -> set[bytes]:
-    """The word between marks, and all pieces of PIECE bytes of it with its first mark."""
-    marked = b"^" + word
-    return {marked + b"$"} | {marked[i : i + PIECE] for i in range(len(marked) - PIECE + 1)}
+    """The word with a mark at its end, and its beginnings of some lengths in bytes."""
+    return {word + b"$", *(word[:n] for n in BEGINNINGS if len(word) >= n)}
 
 
 def text_features(text: bytes) -> set[bytes]:
@@ -103,28 +105,25 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), *(pa.array([counts[k][x] for x in part], pa.int64()) for k in (True, False))], ["f", "p", "u"])
 
 
-def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, epochs: int = 60, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and bias of the non-negative PU risk with logistic loss, by Adam over batches of both sets."""
-    rng = np.random.default_rng(seed)
-    p, u = np.flatnonzero(positive), np.flatnonzero(~positive)
-    w, b = np.zeros(x.shape[1] + 1), -2.0
-    w[-1] = b
-    m, v, t = np.zeros_like(w), np.zeros_like(w), 0
-    steps = max(1, min(len(u) // 512, 24))
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    for _ in range(epochs):
-        for bp, bu in zip(np.array_split(rng.permutation(p), steps), np.array_split(rng.permutation(u), steps), strict=True):
-            if not len(bp) or not len(bu):
-                continue
-            xp, xu = (np.hstack([x[i].astype(np.float64), np.ones((len(i), 1))]) for i in (bp, bu))
-            zp, zu = xp @ w, xu @ w
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            of_negative = xu.T @ sigmoid(zu) / len(bu) - prior * xp.T @ sigmoid(zp) / len(bp)
-            grad = prior * xp.T @ -sigmoid(-zp) / len(bp) + of_negative if negative >= 0 else -of_negative
-            grad[:-1] += 1e-4 * w[:-1]
-            t += 1
-            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-            w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, decay: float, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and bias of the non-negative PU risk with logistic loss and weight decay, by Adam on all rows at once.
+
+    Batches would estimate the second term of the risk too badly where
+    positives are few, and its correction would undo what the first one learns.
+    """
+    xp, xu = (np.hstack([x[k].astype(np.float32), np.ones((int(k.sum()), 1), np.float32)]) for k in (positive, ~positive))
+    w = np.zeros(x.shape[1] + 1)
+    w[-1] = math.log(prior / (1 - prior))
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    sigmoid = lambda z: (1 / (1 + np.exp(-np.clip(z, -40, 40)))).astype(np.float32)
+    for t in range(1, steps + 1):
+        zp, zu = xp @ w.astype(np.float32), xu @ w.astype(np.float32)
+        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        of_negative = xu.T @ sigmoid(zu) / len(xu) - prior * (xp.T @ sigmoid(zp)) / len(xp)
+        grad = (of_negative - prior * (xp.T @ sigmoid(-zp)) / len(xp) if negative >= 0 else -of_negative).astype(np.float64)
+        grad[:-1] += decay * w[:-1]
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
@@ -132,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from docs(doc_id, text) and labels(doc_id, toxic), of rows that are not held_out alone.
 
     Positives have a label toxic = 1, unlabelled documents no label at all; the
-    class prior is the share of toxic among the labelled. Null ids, labels and
+    class prior is PRIOR_SHARE of toxic's share among the labelled. Null ids, labels and
     texts: no part of the training (a null text is an empty one). A document
     with labels of both kinds counts as toxic. Without positives or without
     unlabelled documents the model gives every text the prior.
@@ -140,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     small_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg("toxic")).first()[0]
-    prior = min(max(prior if prior is not None else 0.01, 1e-3), 0.9)
+    prior = PRIOR_SHARE * min(max(prior if prior is not None else 0.01, 1e-3), 0.9)
     ids = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"))
     p = _drawn(known.where("toxic = 1").select("doc_id"), MOST_POSITIVE).withColumn("positive", F.lit(True))
     u = _drawn(ids.join(known, "doc_id", "left_anti").distinct(), MOST_UNLABELLED).withColumn("positive", F.lit(False))
@@ -154,7 +153,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     rate_p, rate_u = (F.col("p") + 0.5) / (np_ + 1), (F.col("u") + 0.5) / (nu + 1)
     rate_n = F.greatest((rate_u - prior * rate_p) / (1 - prior), F.lit(0.5 / (nu + 1)))
     gain = rate_p * F.log(rate_p / rate_n) + (1 - rate_p) * F.log((1 - rate_p) / (1 - F.least(rate_n, F.lit(1 - 1e-6))))
-    best = counts.where((F.col("p") >= LEAST_DOCS) | (F.col("u") >= 4 * LEAST_DOCS)).select("f", gain.alias("g")).orderBy(F.desc("g"), "f").limit(FEATURES).collect()
+    known_well = F.log(rate_p / rate_u) - 2 * F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("u") + 0.5)) > math.log(LEAST_RATIO)
+    best = counts.where((F.col("p") >= LEAST_DOCS) & known_well).select("f", gain.alias("g")).orderBy(F.desc("g"), "f").limit(FEATURES).collect()
     vocabulary = {bytes(r.f): i for i, r in enumerate(best)}
     empty = Model(vocabulary, np.zeros(len(vocabulary)), 0.0)
 
@@ -168,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     x = np.zeros((rows.num_rows, len(vocabulary)), np.uint8)
     for i, columns in enumerate(rows.column("x").to_pylist()):
         x[i, columns] = 1
-    weights, bias = fit_nnpu(x, rows.column("positive").to_numpy().astype(bool), prior)
+    weights, bias = fit_nnpu(x, rows.column("positive").to_numpy().astype(bool), prior, decay=0.1 / np_)
     return Model(vocabulary, weights, bias)
 
 
