@@ -10,10 +10,14 @@
    sets). Two sketches that share so many values share one of their rarest
    ``size - overlap + 1`` values, so only these enter lists, and passages that
    many documents share don't.
-3. Candidates are first each list's members against one pivot of it. Only
-   pairs that this leaves in different components are then formed in full,
-   each once, at the first value that both prefixes hold.
-4. The union sketch (k smallest of both) estimates; full sets decide exactly.
+3. Candidates are first each list's members against one pivot of it. The union
+   sketch (k smallest of both) estimates; full sets decide exactly.
+4. Documents of lists that this leaves with more than one component are listed
+   anew, by the rarest values of their full sets, for which the same bound is
+   exact. Lists of up to ``SHORT`` entries give pairs of different components,
+   each pair once, at the first value that both hold. Longer ones are compared
+   in blocks of bounded size, block against block, on full sets, and each such
+   comparison returns no more links than it has documents.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from lanewise.llm.components import connected_components
 WORDS, K, MISS = 5, 64, 1e-8
 #: Lists in which a document meets a pivot in the first round, and bits of the filter of candidates.
 STARS, FILTER_BITS = 4, 1 << 26
+#: The longest list that is turned into pairs; documents and shingles of a block, at most about; columns of a dense slice.
+SHORT, BLOCK_DOCS, BLOCK_SHINGLES, SLICE = 64, 512, 1 << 16, 4096
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -91,6 +97,50 @@ def _whole_sets(words: int):
     return run
 
 
+def _block_links(percent: int):
+    """Of one block against another, or of a block within itself: links that connect what its links connect."""
+
+    def run(t: pa.Table) -> pa.Table:
+        x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
+        own, rep, c = (t.column(n).to_numpy() for n in ("own", "rep", "c"))
+        shingles = t.column("shingles").combine_chunks()
+        n = np.diff(shingles.offsets.to_numpy())
+        row = np.repeat(np.arange(len(n)), n)
+        values, column, df = np.unique(shingles.values.to_numpy()[shingles.offsets[0].as_py() : shingles.offsets[-1].as_py()], return_inverse=True, return_counts=True)
+        keep = df[column] > 1
+        order = np.argsort(column[keep], kind="stable")
+        row, column = row[keep][order], np.unique(column[keep][order], return_inverse=True)[1]
+        left = np.flatnonzero(own == x)
+        right = left if x == y else np.flatnonzero(own == y)
+        common = np.zeros((len(left), len(right)), np.float32)
+        cuts = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + SLICE, SLICE))
+        for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            part = np.zeros((len(n), SLICE), np.float32)
+            part[row[lo:hi], column[lo:hi] - i * SLICE] = 1
+            common += part[left] @ part[right].T
+        common = common.astype(np.int64)
+        linked = (100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)) & (c[left][:, None] != c[right][None, :])
+        # breadth first over the two sides; each document is reached once, from one that it links with
+        src, dst = [], []
+        sides, seen = (left, right), (np.zeros(len(left), bool), np.zeros(len(right), bool))
+        for start in np.flatnonzero(linked.any(axis=1)):
+            if seen[0][start]:
+                continue
+            seen[0][start] = True
+            side, front = 0, np.array([start])
+            while len(front):
+                step = linked[front] if side == 0 else linked[:, front].T
+                new = np.flatnonzero(step.any(axis=0) & ~seen[1 - side])
+                src.append(sides[side][front[step[:, new].argmax(axis=0)]])
+                dst.append(sides[1 - side][new])
+                seen[1 - side][new] = True
+                side, front = 1 - side, new
+        src, dst = (rep[np.concatenate(z)] if z else np.empty(0, np.int64) for z in (src, dst))
+        return pa.table({"src": np.minimum(src, dst), "dst": np.maximum(src, dst)})
+
+    return run
+
+
 def _slot() -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
 
@@ -138,7 +188,7 @@ def near_pairs(docs: DataFrame, percent: int = 85, words: int = WORDS, k: int =
     shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ranked = values.join(shared, "v").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("p"))
     room = F.least(F.col("n"), F.lit(k)) - overlap + 1 - (F.least(F.col("n"), F.lit(k)) - F.size("p"))
-    prefixes = written(ranked.withColumn("room", room.cast("int")).where("room > 0").select("rep", "n", F.expr("transform(slice(p, 1, room), x -> x.v)").alias("p")), "prefixes")
+    prefixes = written(ranked.withColumn("room", room.cast("int")).where("room > 0").select("rep", "n", F.expr("transform(slice(p, 1, greatest(room, 0)), x -> x.v)").alias("p")), "prefixes")
     sets = written(_texts_of(texts, prefixes.select(F.col("rep").alias("doc_id"))).mapInArrow(_whole_sets(words), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
 
     def sizes(a: str, b: str) -> Column:
@@ -162,15 +212,31 @@ def near_pairs(docs: DataFrame, percent: int = 85, words: int = WORDS, k: int =
     links = written(verified(first), "links")
 
     joined = connected_components(links)
-    lists = prefixes.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "n", "p", F.coalesce("component", "rep").alias("c"))
-    entries = lists.select("rep", "n", "p", "c", F.explode("p").alias("v"))
-    mixed = entries.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("v")
-    open_ = written(entries.join(mixed, "v"), "lists")
-    a, b = (open_.select("v", *(F.col(x).alias(f"{side}_{x}") for x in ("rep", "n", "p", "c"))) for side in "ab")
+    component = joined.withColumnRenamed("id", "rep")
+    entries = prefixes.select("rep", F.explode("p").alias("v")).join(component, "rep", "left").select("rep", "v", F.coalesce("component", "rep").alias("c"))
+    several = lambda e: e.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).where("lo < hi").drop("lo", "hi")
+    open_ = entries.join(several(entries.withColumn("n", F.lit(0))).select("v"), "v").select("rep", "c").distinct()
+    open_ = written(open_.join(sets, F.col("rep") == F.col("id")).select("rep", "c", F.size("shingles").alias("n"), "shingles"), "open")
+    values = open_.select("rep", "c", "n", F.explode("shingles").alias("v"))
+    shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ranked = values.join(shared, "v").groupBy("rep", "c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("p"))
+    room = F.size("p") - F.ceil(F.col("n") * percent / 100) + 1
+    lists = ranked.withColumn("room", room.cast("int")).where("room > 0").select("rep", "c", "n", F.expr("transform(slice(p, 1, greatest(room, 0)), x -> x.v)").alias("p"))
+    entries = lists.select("rep", "c", "n", "p", F.explode("p").alias("v"))
+    entries = written(entries.join(several(entries), "v"), "lists")
+
+    short = entries.where(F.col("m") <= SHORT)
+    a, b = (short.select("v", *(F.col(x).alias(f"{side}_{x}") for x in ("rep", "n", "p", "c"))) for side in "ab")
     first_common = F.array_intersect("a_p", "b_p")[0] == F.col("v")
     rest = a.join(b, "v").where((F.col("a_c") < F.col("b_c")) & sizes("a_n", "b_n") & first_common)
     rest = written(rest.select(F.least("a_rep", "b_rep").alias("src"), F.greatest("a_rep", "b_rep").alias("dst")), "pairs")
-    return members, written(verified(rest).union(links), "links")
+
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
+    long = entries.where(F.col("m") > SHORT).select("rep", "v", blocks.alias("k"))
+    long = long.withColumn("own", F.pmod(F.xxhash64("rep"), "k").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    long = long.join(open_.select("rep", "c", "shingles"), "rep").select("v", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "c", "shingles")
+    dense = long.groupBy("v", "x", "y").applyInArrow(_block_links(percent), "src long, dst long").distinct()
+    return members, written(verified(rest).union(dense).union(links), "links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, k: int = K) -> DataFrame:
@@ -185,3 +251,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, k: i
     roots = connected_components(links)
     out = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, k: int = K) -> DataFrame:
+    """Of each component of near_duplicates the rows of its smallest doc_id, with all columns of docs.
+
+    Rows with a null doc_id stay, and so do all rows that share a kept doc_id.
+    """
+    gone = near_duplicates(docs.select("doc_id", "text"), percent, words, k).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti").select(*(docs[c] for c in docs.columns))
