@@ -4,17 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lanewise.llm import chat, wavelet
 from lanewise.llm.common import table
+from lanewise.llm.decontam import leaks
+from lanewise.llm.embeddings import near_embeddings
+from lanewise.llm.licenses import scan_licenses
 from lanewise.llm.minhash import near_duplicates
 from lanewise.llm.packing import pack_documents
 from lanewise.llm.secrets import scan_documents
 from lanewise.llm.toxicity import score_documents
+from lanewise.llm.warc import archived
+
+#: A conversation whose texts hold the template's control strings.
+TRICKY = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(table(spark, sf_dir, "documents"))
 
@@ -23,10 +35,31 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.read_back(table(spark, sf_dir, "documents"))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.canonical_turns(table(spark, sf_dir, "conversations"))
+    return chat.read_back(turns.union(spark.createDataFrame(TRICKY, turns.schema)))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op7_minhash": op7_minhash}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"))
+
+
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_licenses, op3_secrets, op4_packing, op5_wavelet, op6_chat, op7_minhash, op8_warc, op9_embeddings, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
