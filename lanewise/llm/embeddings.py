@@ -1,15 +1,16 @@
 """Near-duplicate embeddings by a subspace pigeonhole join.
 
-Unit vectors with cosine >= t lie within d2 = 2 - 2t of squared distance. A
-fixed rotation spreads every vector over its coordinates; these are split into
-BLOCKS subspaces, and if the squared distances within all subspaces add up to
-d2 or less, one of them is at most d2 / BLOCKS. So each subspace is
-range-joined under that budget: its first CELL_DIMS coordinates are cut into
-cells as wide as the budget's radius, and a vector meets its own cell and those
-next to it. A cell is compared in parts of bounded size, part against part;
-what lies within the subspace's budget is verified by cosine in double
-precision and counted in the first subspace that finds it. Each comparison
-returns counts of links and a spanning set of them, never pairs by the square.
+Unit vectors with cosine >= t lie within d2 = 2 - 2t of squared distance.
+Vectors are rotated to the principal axes of a bounded sample, which go in turn
+to BLOCKS subspaces; if the squared distances within all subspaces add up to d2
+or less, one of them is at most d2 / BLOCKS. So each subspace is range-joined
+under that budget: its leading coordinate is cut into slabs as wide as the
+budget's radius, and a vector meets its own slab and the next. A slab is
+compared in parts of bounded size, part against part; what lies within the
+subspace's budget is verified by cosine in double precision and counted in the
+first subspace that admits it. Equal vectors form a class at once. Each
+comparison returns sums of links and a spanning set of them, never pairs by
+the square.
 """
 
 from __future__ import annotations
@@ -25,14 +26,17 @@ from pyspark.sql import functions as F
 from lanewise.llm.common import small_batches, written
 from lanewise.llm.components import connected_components
 
-BLOCKS, CELL_DIMS, PART = 4, 2, 1024
-#: Added to every budget, so that rounding in the rotation never loses a pair.
-SLACK = 1e-6
+#: Subspaces, vectors of a part, rows compared at once, and vectors of the sample that sets the axes.
+BLOCKS, PART, ROWS, SAMPLE = 4, 16384, 1024, 4096
+#: Added to every budget, so that rounding in the rotation never loses a pair; and to those of the first, single-precision pass.
+SLACK, LOOSE = 1e-6, 1e-4
 
 
-def rotation(n: int, seed: int = 5) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, n)))
-    return q * np.sign(np.diag(r))
+def _axes(sample: np.ndarray) -> np.ndarray:
+    """Principal axes of unit vectors as columns, widest first, dealt in turn so that every subspace begins with a wide one."""
+    n = sample.shape[1]
+    axes = np.linalg.eigh(sample.T @ sample + 1e-12 * np.eye(n))[1][:, ::-1]
+    return np.ascontiguousarray(axes[:, [i for j in range(BLOCKS) for i in range(j, n, BLOCKS)]])
 
 
 def _budget(least: float) -> float:
@@ -40,77 +44,94 @@ def _budget(least: float) -> float:
 
 
 def _splits(n: int) -> list[slice]:
-    edges = [n * i // BLOCKS for i in range(BLOCKS + 1)]
+    sizes = [len(range(j, n, BLOCKS)) for j in range(BLOCKS)]
+    edges = [0, *itertools.accumulate(sizes)]
     return [slice(a, b) for a, b in itertools.pairwise(edges)]
 
 
-def _later_cells(dims: int) -> list[tuple[int, ...]]:
-    """One of each two opposite neighbours, and the cell itself first."""
-    return [(0,) * dims, *(c for c in itertools.product((-1, 0, 1), repeat=dims) if c > (0,) * dims)]
+def _units(column: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
+    """Unit vectors in double precision of lists of n numbers."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
+    v = v / np.abs(v).max(axis=1, keepdims=True)  # so that no square overflows or vanishes
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def _cells(least: float):
-    """row -> (block, cell, home): a vector at home in its cell, and a guest in the later of each two neighbours."""
+def _turned(unit: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Coordinates by the axes; without BLAS, so that a row's digits don't depend on the rows beside it."""
+    return np.einsum("ij,jk->ik", unit, axes, optimize=False)
+
+
+def _cells(least: float, axes: dict[int, np.ndarray]):
+    """row -> (cell, home): a vector at home in its slab of each subspace, and a guest in the next."""
     width = np.sqrt(_budget(least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            lengths = b.column("v").value_lengths().to_numpy()
+            lengths = b.column("v").value_lengths().to_numpy(zero_copy_only=False)
             for n in np.unique(lengths):
-                at = np.flatnonzero(lengths == n)
-                x = np.array(b.column("v").take(pa.array(at)).to_pylist(), np.float64)
-                turned = x / np.linalg.norm(x, axis=1, keepdims=True) @ rotation(int(n))
+                at = pa.array(np.flatnonzero(lengths == n))
+                rows = b.take(at)
+                turned = _turned(_units(rows.column("v"), int(n)), axes[int(n)])
                 for j, s in enumerate(_splits(int(n))):
-                    cell = np.floor(turned[:, s][:, :CELL_DIMS] / width).astype(np.int64)
-                    for step in _later_cells(cell.shape[1]):
-                        to = cell + np.array(step, np.int64)
-                        key = [f"{n}:{j}:" + ":".join(map(str, k)) for k in to.tolist()]
-                        yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), pa.array(key), pa.array([not any(step)] * len(at))], ["id", "cell", "home"])
+                    if s.start == s.stop:
+                        continue
+                    slab = np.floor(turned[:, s.start] / width).astype(np.int64)
+                    for step in (0, 1):
+                        key = [f"{n}:{j}:{k}" for k in (slab + step).tolist()]
+                        yield pa.RecordBatch.from_arrays([rows.column("cid"), pa.array(key, pa.string()), pa.array([step == 0] * len(key))], ["cid", "cell", "home"])
 
     return run
 
 
-def _links(least: float):
+def _links(least: float, axes: dict[int, np.ndarray]):
     def run(t: pa.Table) -> pa.Table:
-        ids, own, home = (t.column(n).to_numpy() for n in ("id", "own", "home"))
+        ids, mult, own, home = (t.column(n).to_numpy() for n in ("cid", "mult", "own", "home"))
         x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
-        block = int(t.column("cell")[0].as_py().split(":")[1])
-        v = np.array(t.column("v").to_pylist(), np.float64)
-        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-        turned = unit @ rotation(v.shape[1])
-        splits, budget = _splits(v.shape[1]), _budget(least)
+        n, block = map(int, t.column("cell")[0].as_py().split(":")[:2])
+        unit = _units(t.column("v"), n)
+        turned = _turned(unit, axes[n])
+        splits, budget = _splits(n), _budget(least)
+        part = turned[:, splits[block]].astype(np.float32)
+        half = (part.astype(np.float64) ** 2).sum(axis=1, keepdims=True).astype(np.float32) / 2
+        one = np.ones_like(half)
+        rows, columns = np.hstack([part, -half, one]), np.hstack([part, one, -half])  # their product is minus half of the squared distance
         left = np.flatnonzero(home & (own == x))  # at least one of a pair is at home
         right = left if x == y else np.flatnonzero(home & (own == y))
-        guests = np.flatnonzero(~home & ((own == y) if x != y else (own == x)))
+        guests = np.flatnonzero(~home & (own == y))
         more = np.flatnonzero(~home & (own == x)) if x != y else np.empty(0, np.int64)
         count = np.zeros(len(ids), np.int64)
         src, dst = [], []
         for a, b, same in ((left, right, x == y), (left, guests, False), (right, more, False)):
-            if not len(a) or not len(b):
-                continue
-            p, q = turned[a][:, splits[block]], turned[b][:, splits[block]]
-            near = (p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * (p @ q.T) <= budget
-            if same:
-                near = np.triu(near, 1)
-            i, j = np.nonzero(near)
-            linked = np.zeros(near.shape, bool)
-            for lo in range(0, len(i), 1 << 17):
-                k, m = a[i[lo : lo + (1 << 17)]], b[j[lo : lo + (1 << 17)]]
-                ok = np.einsum("ij,ij->i", unit[k], unit[m]) >= least
-                for earlier in range(block):  # counted there already
-                    d = turned[k][:, splits[earlier]] - turned[m][:, splits[earlier]]
-                    ok &= (d * d).sum(1) > budget
-                linked[i[lo : lo + (1 << 17)], j[lo : lo + (1 << 17)]] = ok
-            count[a] += linked.sum(1)
-            count[b] += linked.sum(0)
-            for k in _spanning(linked):
-                src.append(ids[a[k[0]]])
-                dst.append(ids[b[k[1]]])
+            to = np.ascontiguousarray(columns[b].T)
+            for lo in range(0, len(a) if len(b) else 0, ROWS):
+                some = a[lo : lo + ROWS]
+                near = rows[some] @ to >= -(budget + LOOSE) / 2
+                at = np.flatnonzero(near)
+                i, j = at // len(b), at % len(b)
+                if same:
+                    i, j = i[j > i + lo], j[j > i + lo]
+                kept = [np.empty(0, np.int64)] * 2
+                for c in range(0, len(i), 1 << 16):
+                    k, m = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
+                    ok = (unit[some[k]] * unit[b[m]]).sum(axis=1) >= least
+                    k, m = k[ok], m[ok]
+                    square = (turned[some[k]] - turned[b[m]]) ** 2
+                    admits = np.stack([square[:, s].sum(axis=1) <= budget for s in splits], axis=1)
+                    first = admits.argmax(axis=1) == block  # counted in no other subspace
+                    kept = [np.concatenate([kept[0], k[first]]), np.concatenate([kept[1], m[first]])]
+                if not len(kept[0]):
+                    continue
+                np.add.at(count, some[kept[0]], mult[b[kept[1]]])
+                np.add.at(count, b[kept[1]], mult[some[kept[0]]])
+                linked = np.zeros((len(some), len(b)), bool)
+                linked[kept[0], kept[1]] = True
+                for r, c in _spanning(linked):
+                    src.append(ids[some[r]])
+                    dst.append(ids[b[c]])
         found = np.flatnonzero(count)
-        n = np.concatenate([count[found], np.zeros(len(src), np.int64)])
-        return pa.table({"id": np.concatenate([ids[found], np.array(src, np.int64)]), "to": pa.array([None] * len(found) + dst, pa.int64()), "n": n})
+        total = np.concatenate([count[found], np.zeros(len(src), np.int64)])
+        return pa.table({"cid": np.concatenate([ids[found], np.array(src, np.int64)]), "to": pa.array([None] * len(found) + dst, pa.int64()), "n": total})
 
     return run
 
@@ -143,24 +164,38 @@ def near_embeddings(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors(vec_id, embedding, ...).
 
     Vectors that are null, empty, zero or hold null or non-finite components
-    link with nothing, nor do vectors of unlike lengths with each other. Rows
-    of equal vectors link like any others; rows that share a vec_id count as
-    vectors of their own in n_links and as one node in components. A null
-    vec_id links with nothing. An empty table gives an empty result.
+    link with nothing and are components of their own, nor do vectors of unlike
+    lengths link. Equal vectors link like any others. Rows that share a vec_id
+    count as vectors of their own in n_links and as one node in components. A
+    row with a null vec_id links with nothing. An empty table gives an empty
+    result. Exact, and of no better order than the pairs of a slab.
     """
     spark = vectors.sparkSession
     small_batches(spark)
-    all_ = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    finite = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
-    rows = written(all_.where(F.col("vec_id").isNotNull() & finite).select(F.col("vec_id").alias("id"), "v"), "vectors")
-    cells = written(rows.mapInArrow(_cells(least), "id long, cell string, home boolean"), "cells")
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    all_ = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"))
+    finite = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
+    rows = all_.where(finite).select(F.col("vec_id").alias("id"), "v")
+    classes = written(rows.groupBy("v").agg(F.count(F.lit(1)).alias("mult")).withColumn("cid", F.monotonically_increasing_id()), "vectors")
+    members = written(rows.join(classes, "v").select("id", "cid", "mult"), "members")
+    axes = {}
+    for n in [r[0] for r in classes.groupBy(F.size("v")).count().collect()]:  # one for each length of vectors
+        of = classes.where(F.size("v") == n)
+        few = of.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLE / max(of.count(), 1)) * (1 << 30)))).select("v").toArrow()
+        axes[n] = _axes(_units(few.column("v"), n)) if few.num_rows else np.eye(n)[:, [i for j in range(BLOCKS) for i in range(j, n, BLOCKS)]]
+    cells = written(classes.select("cid", "v").mapInArrow(_cells(least, axes), "cid long, cell string, home boolean"), "cells")
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("home").cast("int")).alias("h")).where("m > 1 and h > 0")
-    placed = cells.join(sizes.select("cell", F.ceil(F.col("m") / PART).cast("int").alias("k")), "cell").withColumn("own", F.pmod(F.xxhash64("id"), "k").cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).join(rows, "id")
-    parts = placed.select("cell", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "home", "id", "v")
-    found = written(parts.groupBy("cell", "x", "y").applyInArrow(_links(least), "id long, to long, n long"), "links")
-    counts = found.groupBy("id").agg(F.sum("n").alias("n_links"))
-    roots = connected_components(found.where("to is not null").select(F.col("id").alias("src"), F.col("to").alias("dst")))
-    out = all_.select("vec_id").join(counts.withColumnRenamed("id", "vec_id"), "vec_id", "left").join(roots.withColumnRenamed("id", "vec_id"), "vec_id", "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    placed = cells.join(sizes.select("cell", F.ceil(F.col("m") / PART).cast("int").alias("k")), "cell").withColumn("own", F.pmod(F.xxhash64("cid"), "k").cast("int"))
+    placed = placed.join(classes, "cid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    parts = placed.select("cell", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "home", "cid", "mult", "v")
+    found = written(parts.groupBy("cell", "x", "y").applyInArrow(_links(least, axes), "cid long, to long, n long"), "links")
+    counts = found.groupBy("cid").agg(F.sum("n").alias("linked"))
+    shared = members.groupBy("id").agg(F.min("cid").alias("src"), F.max("cid").alias("most")).where("src < most").drop("most")
+    edges = found.where("to is not null").select(F.col("cid").alias("src"), F.col("to").alias("dst")).union(members.join(shared, "id").select("src", F.col("cid").alias("dst")))
+    roots = members.join(connected_components(edges).withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("component", "cid"))
+    least_id = roots.groupBy("root").agg(F.min("id").alias("component_id"))
+    out = roots.join(least_id, "root").join(counts, "cid", "left")
+    out = out.select(F.col("id").alias("vec_id"), (F.coalesce("linked", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component_id")
+    out = out.union(all_.where(~finite).select("vec_id", F.lit(0).cast("long"), "vec_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
