@@ -22,9 +22,26 @@ def _byte_letters() -> dict[int, str]:
 
 
 _AS_LETTERS = _byte_letters()
+_SPACE_LETTER = _AS_LETTERS[32]
 MEMORY, LONGEST = 250_000, 64
 
 
+class _Memory(dict):
+    """stretch -> ids; one that is missing is taken from the generation before or encoded, and kept unless it is long."""
+
+    def __init__(self, encode, old: dict[str, bytes]):
+        super().__init__()
+        self.encode, self.old = encode, old
+
+    def __missing__(self, s: str) -> bytes:
+        ids = self.old.get(s)
+        if ids is None:
+            ids = self.encode(s)
+        if len(s) <= LONGEST:
+            self[s] = ids
+        return ids
+
+
 class ByteLevelIds:
     """text -> ids as little-endian unsigned 32-bit integers, equal to encode(text, add_special_tokens=False).
 
@@ -43,29 +60,21 @@ class ByteLevelIds:
         special = {t.content: i for i, t in whole.get_added_tokens_decoder().items()}
         self.special = {k: self.four[v] for k, v in special.items()}
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young = _Memory(self._stretch, {})
 
     def _stretch(self, s: str) -> bytes:
         four, tokenize = self.four, self.model.tokenize
         if _ONE_PIECE(s):
+            if s.isascii():
+                return b"".join([four[t.id] for t in tokenize(_SPACE_LETTER + s[1:] if s[0] == " " else s)])
             return b"".join([four[t.id] for t in tokenize(s.encode().decode("latin-1").translate(_AS_LETTERS))])
         return b"".join([four[t.id] for piece, _ in self.split(s) for t in tokenize(piece)])
 
     def _plain(self, text: str) -> bytes:
-        parts = _STRETCH.findall(text)
-        young, old, long = self.young, self.old, {}
-        for s in set(parts).difference(young):
-            if len(s) > LONGEST:
-                long[s] = self._stretch(s)
-            else:
-                young[s] = old[s] if s in old else self._stretch(s)
-        if long:
-            out = b"".join([long[s] if len(s) > LONGEST else young[s] for s in parts])
-        else:
-            out = b"".join(map(young.__getitem__, parts))
-        if len(young) > MEMORY:
-            self.young, self.old = {}, young
+        out = b"".join(map(self.young.__getitem__, _STRETCH.findall(text)))
+        if len(self.young) > MEMORY:
+            self.young.old = {}
+            self.young = _Memory(self._stretch, self.young)
         return out
 
     def __call__(self, text: str) -> bytes:

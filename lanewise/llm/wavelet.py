@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,13 @@ MAGIC, END_ID, BLOCK = b"LWWM0001", 0, 64
 SHARD_TOKENS = 1 << 21
 
 
+def _parted(now: np.ndarray, plane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Elements whose bit in a plane is 0, and those whose is 1, in their order; Arrow's filter reads the bits as they are."""
+    ones = pa.Array.from_buffers(pa.bool_(), len(now), [None, pa.py_buffer(np.ascontiguousarray(plane))])
+    column = pa.array(now)
+    return pc.filter(column, pc.invert(ones)).to_numpy(), pc.filter(column, ones).to_numpy()
+
+
 class WaveletMatrix:
     """A sequence of small unsigned integers as bit-planes, with access, rank (counting) and select (occurrence lookup)."""
 
@@ -40,11 +48,10 @@ class WaveletMatrix:
         now = values.astype(np.uint16 if bits <= 16 else np.uint32)
         planes, zeros = [], []
         for level in range(bits - 1, -1, -1):
-            ones = (now & now.dtype.type(1 << level)) != 0
-            planes.append(np.packbits(ones, bitorder="little"))
-            low = now[~ones]
+            planes.append(np.packbits((now & now.dtype.type(1 << level)) != 0, bitorder="little"))
+            low, high = _parted(now, planes[-1])
             zeros.append(len(low))
-            now = np.concatenate([low, now[ones]])
+            now = np.concatenate([low, high])
         return cls(len(values), planes, zeros)
 
     def values(self) -> np.ndarray:
@@ -54,7 +61,10 @@ class WaveletMatrix:
         for level, (plane, zero) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             out = np.empty(self.n, kind)
-            out[~ones] = now[:zero]
+            rest = ~ones
+            if min(zero, self.n - zero) * 8 > self.n:  # positions are faster than masks where bits are mixed
+                ones, rest = np.flatnonzero(ones), np.flatnonzero(rest)
+            out[rest] = now[:zero]
             out[ones] = now[zero:] | kind(1 << level)
             now = out
         return now
