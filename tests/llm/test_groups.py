@@ -166,6 +166,19 @@ def test_decontamination(spark):
     assert decontam.leaks(df, bench.limit(0)).count() == 0 and decontam.leaks(df.limit(0), bench).count() == 0
 
 
+def test_items_paraphrased_in_much_of_the_corpus(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    say = lambda n: list(rng.choice(vocabulary, n))
+    item = [f"q{i}" for i in range(30)]
+    copy = ["instead" if k in (1, 5, 9, 13, 17) else w for k, w in enumerate(item)]
+    docs = [(i, " ".join([*say(20), *(copy if i % 3 == 0 else []), *say(20)])) for i in range(300)]
+    bench = spark.createDataFrame([(0, " ".join(item))] + [(k, " ".join(say(30))) for k in range(1, 9)], "item_id long, text string")
+    for some in (docs, docs[:2], [docs[0], docs[3]]):
+        found = decontam.leaks(spark.createDataFrame(some, "doc_id long, text string"), bench).collect()
+        assert {(r.doc_id, r.item_id) for r in found} == {(i, 0) for i, _ in some if i % 3 == 0}
+
+
 def test_longest_common():
     rng = np.random.default_rng(0)
     for _ in range(100):
