@@ -179,6 +179,44 @@ def test_items_paraphrased_in_much_of_the_corpus(spark):
         assert {(r.doc_id, r.item_id) for r in found} == {(i, 0) for i, _ in some if i % 3 == 0}
 
 
+def test_more_passages_than_dimensions(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "RANK", 16)
+    rng = np.random.default_rng(6)
+    vocabulary = [f"v{i}" for i in range(400)]
+    say = lambda n: list(rng.choice(vocabulary, n))
+    items = [say(rng.integers(15, 60)) for _ in range(60)]
+    docs = []
+    for k, item in enumerate(items):
+        kept = list(item)
+        if k % 2:
+            changed = rng.permutation(len(item) * 3 // 4)[: len(item) // 4]  # the answer stays
+            kept = ["instead" if i in changed else w for i, w in enumerate(item)]
+        docs.append((k, " ".join([*say(rng.integers(0, 90)), *kept, *say(rng.integers(0, 90))])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()}
+    assert not {(k, k) for k in range(len(items))} - found
+
+
+def test_frequent_words_among_rare_ones_of_other_items(spark):
+    rng = np.random.default_rng(7)
+    rare = [f"r{i}" for i in range(60)]
+    item = [f"c{i}" for i in range(15)]
+    docs = [(i, " ".join([*rng.choice(rare, 40), *item, *rng.choice(rare, 40)])) for i in range(6)]
+    docs += [(100 + i, " ".join(rng.permutation(item))) for i in range(400)]
+    bench = [(0, " ".join(item))] + [(k, " ".join(rng.choice(rare, 30))) for k in range(1, 81)]
+    found = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).where("item_id = 0").collect()
+    assert {r.doc_id for r in found} == set(range(6))
+
+
+def test_least_shared_words_lie_in_two_halves():
+    for n in range(1, 2 * decontam.HALF + 1):
+        matched = -(-7 * n // 10)
+        for at in range(decontam.HALF):
+            there = [n - sum(not 0 <= at + i - first < 2 * decontam.HALF for i in range(n)) for first in (0, decontam.HALF)]
+            assert decontam.least_shared(n) <= max(1, matched - (n - max(there)))
+
+
 def test_longest_common():
     rng = np.random.default_rng(0)
     for _ in range(100):
