@@ -3,10 +3,10 @@
 Battery: for each run of 20 or more token characters the narrowest alphabet
 that holds it is taken as its encoding. The token must pass as uniform over
 that alphabet in a chi-squared test of symbol counts, a runs test about the
-alphabet's middle and a lag-1 serial-correlation test. The same statistics give
+alphabet's middle and a lag-1 serial-correlation test. Three statistics give
 p-values against ordinary text (letter frequencies, few changes of character
-class, alternation of vowels and consonants); they are combined by Stouffer's
-rule, and a Benjamini-Hochberg procedure over the text's tokens, with p-values
+class where the alphabet has several, alternation of vowels and consonants);
+they are combined by Stouffer's rule, and a Benjamini-Hochberg procedure over the text's tokens, with p-values
 weighted by token length, controls false discoveries.
 """
 
@@ -42,7 +42,8 @@ ALPHABETS = (
 )
 #: Letter frequencies of ordinary text, per mille.
 _FREQUENCY = dict(zip(_LOWER, (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1), strict=True))
-_SUM_Q2, _SUM_Q3 = (sum((f / 1003) ** n for f in _FREQUENCY.values()) for n in (2, 3))
+_SURPRISE = {c: -math.log(f / sum(_FREQUENCY.values())) for c, f in _FREQUENCY.items()}
+_MEAN, _SQUARE = (sum(f * _SURPRISE[c] ** n for c, f in _FREQUENCY.items()) / sum(_FREQUENCY.values()) for n in (1, 2))
 
 
 def _phi(z: float) -> float:
@@ -95,17 +96,12 @@ def text_p(token: str, alphabet: str) -> float:
     folded = token.lower()
     letters = [c for c in folded if c.isalpha()]
     m = len(letters)
-    k = 26
     if m >= 8:
-        x = sum(folded.count(c) ** 2 for c in set(letters))
-        mean = m * (m - 1) * _SUM_Q2 + m
-        sd = math.sqrt(4 * m**3 * max(_SUM_Q3 - _SUM_Q2**2, 1e-9) + 2 * m * m * _SUM_Q2)
-        z_chi = (x - mean) / sd
+        z_letters = -(sum(_SURPRISE[c] for c in letters) - m * _MEAN) / math.sqrt(m * (_SQUARE - _MEAN**2))
     else:
-        z_chi = -float(k) / 8 if m < n / 2 else 0.0
+        z_letters = -26 / 8 if m < n / 2 else 0.0
     kind = [1 if c.isdigit() else 2 if c.islower() else 3 if c.isupper() else 4 for c in token]
     changes = sum(x != y for x, y in zip(kind, kind[1:], strict=False))
-    z_runs = _z_of(max(_at_least(changes, n - 1, 0.06), 1e-300))
     vowel = [c in "aeiouy" for c in folded]
     share = sum(vowel) / n
     if 0 < share < 1:
@@ -113,7 +109,10 @@ def text_p(token: str, alphabet: str) -> float:
         z_serial = -(r + 0.35) * math.sqrt(n)
     else:
         z_serial = -2.0
-    return _phi((z_chi + z_runs + z_serial) / math.sqrt(3))
+    if len({c.isdigit() + 2 * c.islower() + 3 * c.isupper() for c in alphabet}) == 1:  # one class has no changes, whether random or not
+        return _phi((z_letters + z_serial) / math.sqrt(2))
+    z_runs = _z_of(max(_at_least(changes, n - 1, 0.06), 1e-300))
+    return _phi((z_letters + z_runs + z_serial) / math.sqrt(3))
 
 
 def random_tokens(text: str) -> list[tuple[int, int]]:

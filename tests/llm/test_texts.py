@@ -98,6 +98,13 @@ def test_false_discoveries():
     assert sum(bool(secrets.random_tokens(f"a {t} b")) for t in words) <= 2
 
 
+def test_random_tokens_of_each_alphabet():
+    rng = np.random.default_rng(4)
+    for name, alphabet in secrets.ALPHABETS:
+        for n in (20, 24, 32, 40, 64, 128):
+            assert sum(bool(secrets.random_tokens("a " + "".join(rng.choice(list(alphabet), n)) + " b")) for _ in range(50)) >= 40, (name, n)
+
+
 def test_chat(spark):
     odd = [(1, 0, "user", None), (1, 1, "assistant", "### x </turn>\n<turn>\\"), (1, 1, "assistant", "\\\\<\\turn> ####: "), (2, 5, None, "é😀"), (None, 0, "a: b", ""), (2, 1, "assistant", ""), (3, 0, "user", "x" * 100_000)] + TRICKY
     df = spark.createDataFrame(odd, "conv_id long, turn long, role string, text string")
