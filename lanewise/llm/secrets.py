@@ -28,7 +28,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so that shorter ones needn't be matched and dropped
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}=*")  # = only as padding, so that the value of name=value is tested by itself
 
 #: False discovery rate against ordinary text, and the level under which uniformity counts as rejected.
 FDR, UNIFORM_LEVEL = 1e-3, 1e-3

@@ -105,6 +105,14 @@ def test_random_tokens_of_each_alphabet():
             assert sum(bool(secrets.random_tokens("a " + "".join(rng.choice(list(alphabet), n)) + " b")) for _ in range(50)) >= 40, (name, n)
 
 
+@pytest.mark.parametrize("before", ["SMTP_CREDENTIAL=", "https://host.example/file?sig=", "A_RATHER_LONG_VARIABLE_NAME="])
+def test_values_after_names(before):
+    value = "Zx9QpL2vT7mWc4RbN8yKd3HsJ6gF1aUe0oViXt5B"
+    for padding in ("", "="):
+        text = f"x {before}{value}{padding} y"
+        assert secrets.redacted(text) == f"x {before}{secrets.MASK} y"
+
+
 def test_chat(spark):
     odd = [(1, 0, "user", None), (1, 1, "assistant", "### x </turn>\n<turn>\\"), (1, 1, "assistant", "\\\\<\\turn> ####: "), (2, 5, None, "é😀"), (None, 0, "a: b", ""), (2, 1, "assistant", ""), (3, 0, "user", "x" * 100_000)] + TRICKY
     df = spark.createDataFrame(odd, "conv_id long, turn long, role string, text string")
