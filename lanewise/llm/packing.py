@@ -2,14 +2,17 @@
 
 What is to be packed is known by its histogram: lengths are whole numbers up
 to the capacity, so however many documents there are, the driver sees at most
-``capacity`` counts. Lengths over an eighth of the capacity are put into groups
-of equal cardinality and rounded up to the largest of their group; the linear
+``capacity`` counts. Pieces as long as the capacity are sequences by
+themselves. Other lengths over a share of the capacity are put into groups of
+equal cardinality and rounded up to the largest of their group; the linear
 programme over configurations of these few sizes is solved by column
 generation (a revised simplex priced by an integer knapsack) and rounded down;
-actual lengths take the places of the rounded ones; everything else goes in by
-best fit, longest first. The plan is a list of intervals "pieces number lo to
-lo + n of this length go to these sequences", which the executors apply by
-each piece's rank among those of its length.
+actual lengths take the places of the rounded ones, each place the longest that
+fits beside the rounded sizes still to come; what is left goes in by best fit,
+longest first. This is done for each share in LARGE, and the plan of the fewest
+sequences stands. A plan is a list of intervals "pieces number lo to lo + n of
+this length go to these sequences", which the executors apply by each piece's
+rank among those of its length.
 """
 
 from __future__ import annotations
@@ -28,15 +31,18 @@ from pyspark.sql import functions as F
 from lanewise.llm.common import small_batches, text_or_empty, written
 from lanewise.llm.tokens import default_path, encoder
 
-CAPACITY, END_ID, GROUPS, SMALL_PART, GAP = 1024, 2, 32, 3, 1e-3
+CAPACITY, END_ID, GROUPS, GAP = 1024, 2, 128, 1e-3
+#: Lengths over these parts of the capacity are large: grouped, rounded and placed by configurations (over a half, of one large piece each).
+LARGE = 4, 3, 2
 
 
 @dataclass
 class Plan:
-    """Rows (length, lo, n, per, first, offset): pieces lo..lo+n-1 of a length, per of them to a sequence from number first on, from offset on."""
+    """Rows (length, lo, n, per, first, offset): pieces lo..lo+n-1 of a length, per of them to a sequence from number first on, from offset on; pieces that configurations placed."""
 
     rows: np.ndarray
     sequences: int
+    grouped: int = 0
 
 
 class _Packer:
@@ -55,51 +61,47 @@ class _Packer:
         self.next[length] += n
         self.left[length] -= n
 
-    def configurations(self, groups: int) -> None:
-        """The part by linear grouping."""
-        sizes = [x for x in range(self.capacity, self.capacity // SMALL_PART, -1) if self.left[x]]
-        total = int(sum(self.left[x] for x in sizes))
-        if total < groups:
-            return
-        edges = [total * g // groups for g in range(groups + 1)]
-        queues: list[list[list[int]]] = [[] for _ in range(groups)]
-        g, at = 0, 0
-        for x in sizes:
-            n = int(self.left[x])
-            while n:
-                while at >= edges[g + 1]:
-                    g += 1
-                take = min(n, edges[g + 1] - at)
-                queues[g].append([x, take])
-                at, n = at + take, n - take
-        rounded = np.array([q[0][0] for q in queues])
-        demand = np.array([sum(r[1] for r in q) for q in queues], np.float64)
-        for pattern, amount in _column_generation(rounded, demand, self.capacity):
-            copies = int(amount + 1e-9)
-            if copies:
-                self._substitute(pattern, copies, queues)
-
-    def _substitute(self, pattern: np.ndarray, copies: int, queues: list[list[list[int]]]) -> None:
-        """Actual lengths in the places of ``copies`` sequences of one configuration."""
-        first = self.new(copies)
-        parts = [(first, copies, 0)]  # runs of alike sequences: first, how many, filled
-        for g in np.flatnonzero(pattern):
-            for _ in range(int(pattern[g])):
-                after = []
-                for b, n, filled in parts:
-                    while n and queues[g]:
-                        run = queues[g][0]
-                        take = min(n, run[1])
-                        self.put(run[0], take, 1, b, filled)
-                        after.append((b, take, filled + run[0]))
-                        run[1] -= take
-                        b, n = b + take, n - take
-                        if not run[1]:
-                            queues[g].pop(0)
-                    if n:
+    def configurations(self, groups: int, part: int) -> int:
+        """The part by linear grouping: how many pieces it places."""
+        whole, before = self.capacity, int(self.left.sum())
+        if n := int(self.left[whole]):
+            self.put(whole, n, 1, self.new(n), 0)
+        least = whole // part + 1
+        sizes = np.flatnonzero(self.left[least:])[::-1] + least
+        upto = np.cumsum(self.left[sizes])
+        if not len(sizes):
+            return before - int(self.left.sum())
+        groups = min(groups, int(upto[-1]))
+        edges = np.arange(groups + 1) * int(upto[-1]) // groups
+        longest = sizes[np.searchsorted(upto, edges[:-1], side="right")]
+        rounded, of = np.unique(longest, return_inverse=True)  # groups that round to one size count as one
+        demand = np.bincount(of, weights=np.diff(edges))
+        for pattern, amount in sorted(_column_generation(rounded, demand, whole), key=lambda x: -int(x[0] @ rounded)):
+            if copies := int(amount + 1e-9):
+                self._substitute(np.repeat(rounded, pattern)[::-1].tolist(), copies, least)
+        return before - int(self.left.sum())
+
+    def _substitute(self, places: list[int], copies: int, least: int) -> None:
+        """Actual lengths in the places of ``copies`` sequences of one configuration: each the longest for which there is room."""
+        runs = [(self.new(copies), copies, 0)]  # alike sequences: first, how many, filled
+        to_come = sum(places)
+        for place in places:
+            to_come -= place
+            after = []
+            for b, n, filled in runs:
+                room = self.capacity - filled - to_come
+                while n:
+                    fits = np.flatnonzero(self.left[least : room + 1])
+                    if not len(fits):
                         after.append((b, n, filled))
-                parts = after
-        for b, n, filled in parts:
+                        break
+                    length = least + int(fits[-1])
+                    take = min(n, int(self.left[length]))
+                    self.put(length, take, 1, b, filled)
+                    after.append((b, take, filled + length))
+                    b, n = b + take, n - take
+            runs = after
+        for b, n, filled in runs:
             self.free[self.capacity - filled].append((b, n))
 
     def best_fit(self) -> None:
@@ -147,14 +149,17 @@ def _knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[flo
 
 
 def _column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, most: int = 2000) -> list[tuple[np.ndarray, float]]:
-    """A basic optimal solution of: least number of patterns that cover the demand."""
+    """A basic optimal solution of: least number of patterns that cover the demand.
+
+    The basis is inverted by pinv: inv (threaded LU) was seen to hang in a driver beside its JVM from 128 sizes on.
+    """
     m = len(sizes)
     basis = np.diag(np.maximum(1, capacity // sizes)).astype(np.float64)
-    inverse = np.linalg.inv(basis)
+    inverse = np.linalg.pinv(basis)
     x = inverse @ demand
     for step in range(most):
         if step % 50 == 49:
-            inverse = np.linalg.inv(basis)
+            inverse = np.linalg.pinv(basis)
             x = inverse @ demand
         duals = inverse.sum(axis=0)
         value, pattern = _knapsack(sizes, np.maximum(duals, 0), capacity)
@@ -177,20 +182,19 @@ def _column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, mos
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) -> Plan:
-    """The placement of counts[length] pieces of each length 1..capacity, by linear grouping or, where that needs fewer sequences, by best fit alone."""
+    """The placement of counts[length] pieces of each length 1..capacity: the best of linear grouping by the shares in LARGE."""
     best = None
-    for g in (groups, 0):
+    for part in LARGE:
         p = _Packer(counts, capacity)
-        if g:
-            p.configurations(g)
+        grouped = p.configurations(groups, part)
         p.best_fit()
-        used = _renumbered(p)
+        used = _renumbered(p, grouped)
         if best is None or used.sequences < best.sequences:
             best = used
     return best
 
 
-def _renumbered(p: _Packer) -> Plan:
+def _renumbered(p: _Packer, grouped: int) -> Plan:
     """Without sequences that stayed empty."""
     empty = sorted((b, n) for b, n in p.free.get(p.capacity, []))
     rows = np.array(p.rows, np.int64).reshape(-1, 6)
@@ -198,7 +202,7 @@ def _renumbered(p: _Packer) -> Plan:
         starts = np.array([b for b, _ in empty])
         gone = np.concatenate([[0], np.cumsum([n for _, n in empty])])
         rows[:, 4] -= gone[np.searchsorted(starts, rows[:, 4], side="right")]
-    return Plan(rows[np.lexsort((rows[:, 1], rows[:, 0]))], p.sequences - sum(n for _, n in empty))
+    return Plan(rows[np.lexsort((rows[:, 1], rows[:, 0]))], p.sequences - sum(n for _, n in empty), grouped)
 
 
 def _cut(path: str, capacity: int, keep_ids: bool):
