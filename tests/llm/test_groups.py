@@ -1,9 +1,11 @@
 """Near-duplicates, archives, embeddings, decontamination, toxicity and the pipeline against brute force and planted cases."""
 
+import dataclasses
 import hashlib
 import io
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -209,6 +211,74 @@ def test_frequent_words_among_rare_ones_of_other_items(spark):
     assert {r.doc_id for r in found} == set(range(6))
 
 
+class _Sent:
+    def __init__(self, value):
+        self.value = value
+
+
+def _altered(rng, item, kind):
+    kept = list(item)
+    body = len(item) - max(1, len(item) // decontam.ANSWER_PART)
+    if kind:
+        for i in rng.permutation(body)[: len(item) // (4 if kind == 1 else 6)]:
+            kept[i] = "instead"
+    return kept if kind < 2 else [w for i, x in enumerate(kept) for w in ([x, "besides"] if i % 3 == 2 and i < body else [x])]
+
+
+def test_retrieval_against_an_exhaustive_pass(spark, sf_dir, monkeypatch):
+    rng = np.random.default_rng(12)
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    bench, docs = read("benchmark"), read("documents").select("doc_id", "text").orderBy("doc_id").collect()
+    items = decontam._items(bench)
+    texts = [(d.doc_id, (d.text or "").encode()) for d in docs]
+    for n, (_, item) in enumerate(items * 3):
+        around = decontam.words_of(texts[rng.integers(len(docs))][1])
+        at = rng.integers(len(around) + 1)
+        texts.append((10_000 + n, b" ".join([*around[:at], *(w.encode() if isinstance(w, str) else w for w in _altered(rng, item, n // len(items))), *around[at:]])))
+    df = spark.createDataFrame([(i, bytearray(t)) for i, t in texts], "doc_id long, text binary")
+    (sent,) = decontam._fitted(df, items)
+    fit = sent.value
+    rows = sum(len(decontam._passages(np.empty(-(-len(t.split()))))) for _, t in texts)
+    assert fit.latent.shape[1] == decontam.RANK < rows / 4
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in texts], "text": [t for _, t in texts]})
+
+    def found(value):
+        (out,) = decontam._searcher(_Sent(value))([batch])
+        return {(r["doc_id"], r["item_id"]): r["lcs"] for r in out.to_pylist()}
+
+    got = found(fit)
+    for name, value in (("HALVES_AT_ONCE", 9), ("BYTES_AT_ONCE", 100)):  # long texts are cut without effect
+        monkeypatch.setattr(decontam, name, value)
+    assert found(fit) == got
+    alone = found(dataclasses.replace(fit, blocks=[dataclasses.replace(b, least=np.full(len(b.least), 10**6)) for b in fit.blocks]))
+    wanted = {}
+    for doc, text in texts:
+        words = decontam.word_ids(text, fit.vocabulary)
+        for at in range(-(-len(words) // decontam.HALF)):
+            for key, item in fit.items:
+                region = words[max(0, (at - 1) * decontam.HALF - len(item)) : (at + 3) * decontam.HALF + len(item)]
+                held = set(region.tolist())
+                if sum(w in held for w in item) < decontam.LCS * len(item):
+                    continue
+                lcs = decontam.longest_common(item, region.tolist()) / len(item)
+                answer = item[-max(1, len(item) // decontam.ANSWER_PART) :]
+                if lcs >= decontam.LCS and decontam.longest_common(answer, region.tolist()) >= decontam.ANSWER * len(answer):
+                    wanted[doc, key] = max(lcs, wanted.get((doc, key), 0))
+    assert got.keys() <= wanted.keys() and len(wanted) >= 3 * len(items) - 6
+    print("exhaustive", len(wanted), "found", len(got), "by the latent space alone", len(alone))
+    assert len(got) >= 0.99 * len(wanted) and len(alone) >= 0.9 * len(wanted)
+
+
+def test_items_in_several_parts(spark, monkeypatch):
+    bench = spark.createDataFrame([(k, " ".join(f"w{k}x{i}" for i in range(20))) for k in range(9)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"some words {' '.join(f'w{k}x{i}' for i in range(20))} and more") for k in range(9)] + [(99, " ".join(f"w{k}x{i}" for k in range(2) for i in range(20)))], "doc_id long, text string")
+    want = [(k, k, 1.0) for k in range(9)] + [(99, 0, 1.0), (99, 1, 1.0)]
+    for n in (100, 4):
+        monkeypatch.setattr(decontam, "ITEMS_AT_ONCE", n)
+        assert sorted((r.doc_id, r.item_id, r.lcs) for r in decontam.leaks(docs, bench).collect()) == want
+        assert decontam.without_leaks(docs, bench).count() == 0
+
+
 def test_least_shared_words_lie_in_two_halves():
     for n in range(1, 2 * decontam.HALF + 1):
         matched = -(-7 * n // 10)
