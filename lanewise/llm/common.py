@@ -54,6 +54,26 @@ def drop(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Keys that spread_join takes for hot, at most, and parts over which it spreads the rows of each.
+HOT_KEYS, HOT_PARTS = 4096, 64
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, count: str, total: int, by: str, how: str = "inner") -> DataFrame:
+    """Inner or left join of big with small, which has one row for each key and in column ``count`` the key's rows in big.
+
+    ``total`` is the number of big's rows, so that at most HOT_KEYS keys have
+    more than one in HOT_KEYS of them. Only these keys are broadcast, to part
+    their rows HOT_PARTS ways by column ``by``; their rows of small are
+    repeated for each part. Rows with a null key join with nothing.
+    """
+    hot = F.col(count) * HOT_KEYS > max(total, HOT_KEYS)
+    keys = F.broadcast(small.where(hot).select(F.col(key).alias("__key"), F.lit(True).alias("__hot")))
+    part = F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(HOT_PARTS))).otherwise(F.lit(0)).cast("int")
+    left = big.join(keys, F.col(key) == F.col("__key"), "left").withColumn("__part", part).drop("__key", "__hot")
+    parts = F.when(hot, F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(small.withColumn("__part", F.explode(parts)), [key, "__part"], how).drop("__part")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by rows and bytes, so that very long texts don't fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

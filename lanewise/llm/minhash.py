@@ -15,7 +15,7 @@
 4. Documents of lists that this leaves with more than one component are listed
    anew, by the rarest values of their full sets, for which the same bound is
    exact. Lists of up to ``SHORT`` entries give pairs of different components,
-   each pair once, at the first value that both hold. Longer ones are compared
+   which then are made distinct. Longer ones are compared
    in blocks of bounded size, block against block, on full sets, and each such
    comparison returns no more links than it has documents.
 """
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import small_batches, utf8, written
+from lanewise.llm.common import drop, small_batches, spread_join, utf8, written
 from lanewise.llm.components import connected_components
 
 WORDS, K, MISS = 5, 64, 1e-8
@@ -168,8 +168,8 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def near_pairs(docs: DataFrame, percent: int = 85, words: int = WORDS, k: int = K) -> tuple[DataFrame, DataFrame]:
     """(members, links) of docs(doc_id, text): classes of equal shingle sets, and links between classes.
 
-    members: doc_id, n_shingles, digest, rep (the class's smallest doc_id; null
-    for documents without words), one row per row of docs. links: src, dst, two
+    members: doc_id, n_shingles, rep (the class's smallest doc_id; null for
+    documents without words), one row per row of docs. links: src, dst, two
     reps with 100 * |intersection| >= percent * |union|, enough of them to
     connect whatever is connected. Rows of one doc_id count as one document;
     rows with a null doc_id or a null or empty text link with nothing.
@@ -178,15 +178,20 @@ def near_pairs(docs: DataFrame, percent: int = 85, words: int = WORDS, k: int =
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
     each = written(texts.mapInArrow(_sketcher(words, k), "doc_id long, n_shingles long, digest binary, sketch array<long>"), "sketches")
-    full = each.where("n_shingles > 0 and doc_id is not null")
-    reps = written(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).drop("digest"), "classes")
-    members = each.drop("sketch").join(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "digest", "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.col("rep")))
+    linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    full = each.where(linked)
+    reps = written(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("rows")), "classes")
+    several_rows = reps.where("rows > 1").select("digest", "rep", "rows")
+    rows = full.select("doc_id", "n_shingles", "digest")
+    members = spread_join(rows, several_rows, "digest", "rows", rows.count(), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    members = members.union(each.where(~linked).select("doc_id", "n_shingles", F.lit(None).cast("long")))
 
     few = least_overlap(percent, k)
     overlap = F.when(F.col("n") * percent <= k * percent * percent // 100, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(few))
+    total = reps.agg(F.sum(F.size("sketch"))).first()[0] or 0
     values = reps.select("rep", "n", F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = values.join(shared, "v").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("p"))
+    ranked = spread_join(values, shared, "v", "df", total, "rep").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("p"))
     room = F.least(F.col("n"), F.lit(k)) - overlap + 1 - (F.least(F.col("n"), F.lit(k)) - F.size("p"))
     prefixes = written(ranked.withColumn("room", room.cast("int")).where("room > 0").select("rep", "n", F.expr("transform(slice(p, 1, greatest(room, 0)), x -> x.v)").alias("p")), "prefixes")
     sets = written(_texts_of(texts, prefixes.select(F.col("rep").alias("doc_id"))).mapInArrow(_whole_sets(words), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
@@ -207,7 +212,8 @@ def near_pairs(docs: DataFrame, percent: int = 85, words: int = WORDS, k: int =
 
     listed = prefixes.select("rep", "n", F.explode(F.slice(F.reverse("p"), 1, STARS)).alias("v"))
     pivots = listed.groupBy("v").agg(F.min_by(F.struct("rep", "n"), F.xxhash64("rep", "v")).alias("q"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    first = listed.join(pivots, "v").where((F.col("rep") != F.col("q.rep")) & sizes("n", "q.n"))
+    sums = prefixes.agg(F.sum(F.least(F.size("p"), F.lit(STARS))).alias("listed"), F.sum(F.size("p")).alias("all")).first()
+    first = spread_join(listed, pivots, "v", "c", sums["listed"] or 0, "rep").where((F.col("rep") != F.col("q.rep")) & sizes("n", "q.n"))
     first = first.select(F.least("rep", "q.rep").alias("src"), F.greatest("rep", "q.rep").alias("dst")).distinct()
     links = written(verified(first), "links")
 
@@ -215,28 +221,29 @@ def near_pairs(docs: DataFrame, percent: int = 85, words: int = WORDS, k: int =
     component = joined.withColumnRenamed("id", "rep")
     entries = prefixes.select("rep", F.explode("p").alias("v")).join(component, "rep", "left").select("rep", "v", F.coalesce("component", "rep").alias("c"))
     several = lambda e: e.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).where("lo < hi").drop("lo", "hi")
-    open_ = entries.join(several(entries.withColumn("n", F.lit(0))).select("v"), "v").select("rep", "c").distinct()
+    open_ = spread_join(entries, several(entries.withColumn("n", F.lit(0))).select("v", "m"), "v", "m", sums["all"] or 0, "rep").select("rep", "c").distinct()
     open_ = written(open_.join(sets, F.col("rep") == F.col("id")).select("rep", "c", F.size("shingles").alias("n"), "shingles"), "open")
     values = open_.select("rep", "c", "n", F.explode("shingles").alias("v"))
     shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = values.join(shared, "v").groupBy("rep", "c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("p"))
+    ranked = spread_join(values, shared, "v", "df", open_.agg(F.sum("n")).first()[0] or 0, "rep").groupBy("rep", "c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("p"))
     room = F.size("p") - F.ceil(F.col("n") * percent / 100) + 1
-    lists = ranked.withColumn("room", room.cast("int")).where("room > 0").select("rep", "c", "n", F.expr("transform(slice(p, 1, greatest(room, 0)), x -> x.v)").alias("p"))
-    entries = lists.select("rep", "c", "n", "p", F.explode("p").alias("v"))
-    entries = written(entries.join(several(entries), "v"), "lists")
+    lists = written(ranked.withColumn("room", room.cast("int")).where("room > 0").select("rep", "c", "n", F.expr("transform(slice(p, 1, greatest(room, 0)), x -> x.v)").alias("p")), "lists")
+    entries = lists.select("rep", "c", "n", F.explode("p").alias("v"))
+    entries = written(spread_join(entries, several(entries), "v", "m", lists.agg(F.sum(F.size("p"))).first()[0] or 0, "rep"), "entries")
 
     short = entries.where(F.col("m") <= SHORT)
-    a, b = (short.select("v", *(F.col(x).alias(f"{side}_{x}") for x in ("rep", "n", "p", "c"))) for side in "ab")
-    first_common = F.array_intersect("a_p", "b_p")[0] == F.col("v")
-    rest = a.join(b, "v").where((F.col("a_c") < F.col("b_c")) & sizes("a_n", "b_n") & first_common)
-    rest = written(rest.select(F.least("a_rep", "b_rep").alias("src"), F.greatest("a_rep", "b_rep").alias("dst")), "pairs")
+    a, b = (short.select("v", *(F.col(x).alias(f"{side}_{x}") for x in ("rep", "n", "c"))) for side in "ab")
+    rest = a.join(b, "v").where((F.col("a_c") < F.col("b_c")) & sizes("a_n", "b_n"))
+    rest = written(rest.select(F.least("a_rep", "b_rep").alias("src"), F.greatest("a_rep", "b_rep").alias("dst")).distinct(), "pairs")
 
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
     long = entries.where(F.col("m") > SHORT).select("rep", "v", blocks.alias("k"))
     long = long.withColumn("own", F.pmod(F.xxhash64("rep"), "k").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     long = long.join(open_.select("rep", "c", "shingles"), "rep").select("v", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "c", "shingles")
     dense = long.groupBy("v", "x", "y").applyInArrow(_block_links(percent), "src long, dst long").distinct()
-    return members, written(verified(rest).union(dense).union(links), "links")
+    found = written(verified(rest).union(dense).union(links), "links")
+    drop(prefixes, sets, links, open_, lists, entries, rest)
+    return members, found
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, k: int = K) -> DataFrame:

@@ -3,13 +3,16 @@
 import dataclasses
 import hashlib
 import io
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lanewise.llm import decontam, embeddings, minhash, toxicity, warc
+from lanewise.llm.common import spread_join, written
 from lanewise.llm.components import connected_components
 
 DOCS = "doc_id long, text string, source string, v string, component long"
@@ -83,6 +86,37 @@ def test_long_lists_are_compared_in_blocks(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == closed(len(sets), pairs, list(range(len(sets))))
 
 
+def test_tables_grow_in_proportion_to_long_texts(spark, monkeypatch):
+    sizes = {}
+
+    def recorded(df, tag):
+        out = written(df, tag)
+        sizes[tag] = sizes.get(tag, 0) + sum(f.stat().st_size for f in Path(out._written_path.removeprefix("file://")).rglob("*.parquet"))
+        return out
+
+    monkeypatch.setattr(minhash, "written", recorded)
+    total = []
+    for n in (20_000, 80_000):
+        sizes.clear()
+        words = [f"w{i}" for i in range(n)]
+        other = ["changed" if i % 57 == 5 else w for i, w in enumerate(words)]  # a similarity just under 0.85
+        df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
+        assert sorted(r.component_id for r in minhash.near_duplicates(df).collect()) == [1, 2]
+        assert "entries" in sizes
+        total.append(sum(sizes.values()))
+    assert total[1] < 5 * total[0] < 5 * 20_000 * 100
+
+
+def test_rows_of_hot_keys_are_spread(spark):
+    rows = [(i, 7 if i % 3 == 0 else i) for i in range(6000)] + [(9, None)]
+    big = spark.createDataFrame(rows, "i long, k long")
+    small = big.where("k is not null").groupBy("k").count().withColumn("w", F.col("k") * 10)
+    got = spread_join(big, small, "k", "count", 6000, "i")
+    assert sorted((r.i, r.w) for r in got.collect()) == sorted((i, k * 10) for i, k in rows if k is not None)
+    left = spread_join(big, small.where("count > 1"), "k", "count", 6000, "i", "left")
+    assert sorted(map(str, ((r.i, r.w) for r in left.collect()))) == sorted(str((i, 70 if k == 7 else None)) for i, k in rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 101), (None, 3), (100, 101)] + [(200, k) for k in range(201, 300)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
