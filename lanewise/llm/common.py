@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +78,40 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, count: str, total: i
     return left.join(small.withColumn("__part", F.explode(parts)), [key, "__part"], how).drop("__part")
 
 
+#: Bits of a filter that goes to the executors, whatever the number of keys: 8 MB.
+FILTER_BITS = 1 << 26
+
+
+def slot(*columns: str) -> Column:
+    """The bit of a filter that stands for these columns' values."""
+    return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+
+
+def bit_filter(slots: DataFrame) -> Broadcast:
+    """A broadcast filter of slots(s): bits at ``slot`` of all keys. It lets through every key and, by accident, some others."""
+    words = slots.groupBy((F.col("s") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("b")).toPandas()
+    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    return slots.sparkSession.sparkContext.broadcast(bits)
+
+
+def held(bits: np.ndarray, slots: pa.Array) -> np.ndarray:
+    """Which slots a filter's bits hold; a null slot is in none."""
+    s = pc.fill_null(slots, 0).to_numpy(zero_copy_only=False).astype(np.uint64)
+    found = (bits[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return found & pc.is_valid(slots).to_numpy(zero_copy_only=False)
+
+
+def may_hold(sent: Broadcast, slots: Column) -> Column:
+    """``held`` as a column."""
+
+    @F.arrow_udf("boolean")
+    def of(s: pa.Array) -> pa.Array:
+        return pa.array(held(sent.value, s))
+
+    return of(slots)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by rows and bytes, so that very long texts don't fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

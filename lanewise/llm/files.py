@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +23,16 @@ def put(uri: str, data: bytes) -> None:
     store.move(part, path)
 
 
+@contextmanager
+def opened(uri: str) -> Iterator[BinaryIO]:
+    """A file of the shared folder, read from its beginning as a stream."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_stream(path, compression=None) as source:
+        yield source
+
+
 def contents(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """path, content of the files of a folder; names that begin with _ are attempts that never ended."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")

@@ -31,12 +31,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import drop, small_batches, spread_join, utf8, written
+from lanewise.llm.common import bit_filter, drop, may_hold, slot, small_batches, spread_join, utf8, written
 from lanewise.llm.components import connected_components
 
 WORDS, K, MISS = 5, 64, 1e-8
-#: Lists in which a document meets a pivot in the first round, and bits of the filter of candidates.
-STARS, FILTER_BITS = 4, 1 << 26
+#: Lists in which a document meets a pivot in the first round.
+STARS = 4
 #: The longest list that is turned into pairs; documents and shingles of a block, at most about; columns of a dense slice.
 SHORT, BLOCK_DOCS, BLOCK_SHINGLES, SLICE = 64, 512, 1 << 16, 4096
 
@@ -141,28 +141,10 @@ def _block_links(percent: int):
     return run
 
 
-def _slot() -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-
-
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose id is among ids, without a shuffle of all texts.
-
-    A filter of at most FILTER_BITS bits (8 MB, whatever the number of ids) goes
-    to the executors; what it lets through by accident the semi join takes out.
-    """
-    spark = docs.sparkSession
-    words = ids.select(_slot().alias("s")).groupBy((F.col("s") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("b")).toPandas()
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
-    sent = spark.sparkContext.broadcast(bits)
-
-    @F.arrow_udf("boolean")
-    def maybe(slots: pa.Array) -> pa.Array:
-        s = slots.to_numpy(zero_copy_only=False).astype(np.uint64)
-        return pa.array((sent.value[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63)) & np.uint64(1)).astype(bool))
-
-    return docs.where(maybe(_slot())).join(ids, "doc_id", "left_semi")
+    """Rows of docs whose id is among ids, without a shuffle of all texts: a filter of bounded size goes first, and what it lets through by accident the semi join takes out."""
+    sent = bit_filter(ids.select(slot("doc_id").alias("s")))
+    return docs.where(may_hold(sent, slot("doc_id"))).join(ids, "doc_id", "left_semi")
 
 
 def near_pairs(docs: DataFrame, percent: int = 85, words: int = WORDS, k: int = K) -> tuple[DataFrame, DataFrame]:

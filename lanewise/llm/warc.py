@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,15 +18,15 @@ from io import BytesIO
 from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import new_path, small_batches, text_or_empty
-from lanewise.llm.files import contents, put
+from lanewise.llm.common import bit_filter, drop, held, may_hold, new_path, slot, small_batches, spread_join, text_or_empty, written
+from lanewise.llm.files import opened, put
 
-#: Bytes of an archive after which the next one begins, bytes read at once, and the smallest payload that is stored once.
-ARCHIVE_BYTES, READ_BYTES, LEAST_PAYLOAD = 16 << 20, 1 << 16, 1000
+#: Bytes of an archive after which the next one begins, bytes read at once, the smallest payload that is stored once, and reading tasks at most.
+ARCHIVE_BYTES, READ_BYTES, LEAST_PAYLOAD, MOST_READERS = 16 << 20, 1 << 16, 1000, 1 << 14
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -93,50 +94,70 @@ def read_records(source: BinaryIO) -> Iterator[Record]:
         yield Record(headers, block, payload)
 
 
-def _archiver(folder: str):
+def _archiver(folder: str, sent: Broadcast, most: int):
+    """Rows -> paths of the archives that hold them; a row whose slot the filter holds is not stored here."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, out, written = TaskContext.get().partitionId(), 0, BytesIO(), []
+        part, out, written_ = TaskContext.get().partitionId(), BytesIO(), []
 
         def close() -> None:
-            nonlocal number, out
-            put(name := f"{folder}/{part:06d}-{number:06d}.warc.gz", out.getvalue())
-            written.append(name)
-            number, out = number + 1, BytesIO()
+            nonlocal out
+            # a name for each attempt at the task, so that what another one left behind is in no list
+            put(name := f"{folder}/{part:06d}-{len(written_):06d}-{uuid.uuid4().hex}.warc.gz", out.getvalue())
+            written_.append(name)
+            out = BytesIO()
 
         for b in batches:
+            b = b.filter(pa.array(~held(sent.value, b.column("slot"))))
             for row in b.to_pylist():
                 out.write(record(row["page_id"], row["url"], row["payload"] or b"", bytes.fromhex(row["digest"]), row["bytes"], row["refers_to"]))
-                if out.tell() >= ARCHIVE_BYTES:
+                if out.tell() >= most:
                     close()
         if out.tell():
             close()
-        yield pa.RecordBatch.from_arrays([pa.array(written, pa.string())], ["path"])
+        yield pa.RecordBatch.from_arrays([pa.array(written_, pa.string())], ["path"])
 
     return run
 
 
-def write_archives(pages: DataFrame, folder: str | None = None) -> str:
-    """Archives of pages(page_id, url, html, ...) in a folder of the shared store; returns the folder.
+def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Archives of pages(page_id, url, html, ...) in a folder of the shared store; a written table of their paths (path).
 
     Of rows with equal payloads of LEAST_PAYLOAD bytes or more, those with the
     largest page_id are responses and the others revisit it; rows with a null
-    page_id count as smaller than any, and are responses where all are null.
-    A null html is an empty payload, a null url an empty one. An empty table
-    makes no archive. Revisits carry no payload, so that only digests and ids
-    are shuffled to find them, and then each payload that is stored, once.
+    page_id count as smaller than any, and are responses where all are null;
+    rows that share the largest page_id are responses all. A
+    null html is an empty payload, a null url an empty one. An empty table
+    makes no archive. Revisits are found from ids and digests alone, and their
+    records carry no payload. Payloads aren't shuffled: a filter of bounded
+    size keeps revisits out where pages are read, and the few others that it
+    keeps out by accident are read once more.
     """
     spark = pages.sparkSession
     small_batches(spark)
     folder = folder or new_path(spark, "warc")
     payload = F.encode(text_or_empty("html"), "UTF-8")
     url = text_or_empty("url") if "url" in pages.columns else F.lit("")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload"))
-    last = rows.where(F.col("bytes") >= LEAST_PAYLOAD).groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 and last is not null").select("digest", "last")
-    joined = rows.join(last, "digest", "left")
-    refers = F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
-    ready = joined.select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), "digest", F.col("bytes").cast("long").alias("bytes"), refers.alias("refers_to"))
-    ready.mapInArrow(_archiver(folder), "path string").count()
-    return folder
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), payload.alias("payload"))
+    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload").cast("long"))
+    ids = written(rows.where(F.col("bytes") >= LEAST_PAYLOAD).drop("payload"), "ids")
+    last = ids.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null")
+    found = spread_join(ids, last, "digest", "n", ids.count(), "page_id").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    revisits = written(found.select("page_id", "url", "digest", "bytes", "refers_to"), "revisits")
+    key = slot("page_id", "digest")
+    sent = bit_filter(revisits.select(key.alias("s")))
+    same = lambda a, b: a["page_id"].eqNullSafe(b["page_id"]) & (a["digest"] == b["digest"])
+    passed = ids.where(may_hold(sent, key)).select("page_id", "digest")
+    mistaken = written(passed.join(revisits, same(passed, revisits), "left_anti").distinct(), "mistaken")
+    none = F.lit(None).cast("long")
+    columns = ("page_id", "url", "payload", "digest", "bytes")
+    stored = rows.select(*columns, none.alias("refers_to"), F.when(F.col("bytes") >= LEAST_PAYLOAD, key).alias("slot"))
+    if not mistaken.isEmpty():
+        stored = stored.union(rows.join(mistaken, same(rows, mistaken), "left_semi").select(*columns, none, none))
+    stored = stored.union(revisits.select("page_id", "url", F.lit(None).cast("binary"), "digest", "bytes", "refers_to", none))
+    out = written(stored.mapInArrow(_archiver(folder, sent, archive_bytes), "path string"), "archives")
+    drop(ids, revisits, mistaken)
+    return out
 
 
 def _id(urn: str) -> int | None:
@@ -146,27 +167,25 @@ def _id(urn: str) -> int | None:
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
     for b in batches:
-        for content in b.column("content"):
+        for path in b.column("path").to_pylist():
             rows = []
-            for r in read_records(pa.BufferReader(content.as_buffer())):
-                h = r.headers
-                response = h["warc-type"] == "response"
-                size = len(r.payload) if response else int(h["x-payload-length"])
-                digest = hashlib.sha1(r.payload).hexdigest() if response else base64.b32decode(h["warc-payload-digest"].removeprefix("sha1:")).hex()
-                rows.append((_id(h["warc-record-id"]), size, digest, h["warc-type"], None if response else _id(h["warc-refers-to"])))
+            with opened(path) as source:
+                for r in read_records(source):
+                    h = r.headers
+                    response = h["warc-type"] == "response"
+                    size = len(r.payload) if response else int(h["x-payload-length"])
+                    digest = hashlib.sha1(r.payload).hexdigest() if response else base64.b32decode(h["warc-payload-digest"].removeprefix("sha1:")).hex()
+                    rows.append((_id(h["warc-record-id"]), size, digest, h["warc-type"], None if response else _id(h["warc-refers-to"])))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
-def read_archives(df: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record in files (path, content)."""
-    return df.mapInArrow(_rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+def read_archives(archives: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record of archives(path), each read as a stream."""
+    tasks = max(1, min(archives.count(), MOST_READERS))
+    return archives.select("path").repartition(tasks).mapInArrow(_rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archived(pages: DataFrame) -> DataFrame:
     """Pages written to archives and read back: read_archives of them, one row for each row of pages."""
-    folder = write_archives(pages)
-    spark = pages.sparkSession
-    if pages.isEmpty():
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read_archives(contents(spark, folder, "*.warc.gz"))
+    return read_archives(write_archives(pages))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lanewise.llm import decontam, embeddings, minhash, toxicity, warc
+from lanewise.llm import common, decontam, embeddings, minhash, toxicity, warc
 from lanewise.llm.common import spread_join, written
 from lanewise.llm.components import connected_components
 
@@ -123,7 +123,7 @@ def test_components(spark):
     assert got == {i: 0 for i in range(31)} | {100: 100, 101: 100} | {k: 200 for k in range(200, 300)}
 
 
-def test_archives(spark):
+def test_archives(spark, monkeypatch):
     big, small = "é<p>" * 400, "tiny"
     rows = [(1, "http://a", big, 0), (9, "http://b\r\nX: y", big, 0), (4, None, big, 0), (2, "u", small, 0), (3, "u", small, 0), (5, "u", None, 0), (6, "u", "WARC/1.1\r\n\r\n" * 300, 0), (None, "u", big, 0), (7, "u", "x" * 1000, 0)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
@@ -136,6 +136,19 @@ def test_archives(spark):
         want.append((str(i), len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", str(last if revisit else None)))
     assert got == sorted(want)
     assert warc.archived(df.limit(0)).count() == 0
+    monkeypatch.setattr(common, "FILTER_BITS", 64)  # nearly every key is let through by accident
+    assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in warc.archived(df).collect()) == got
+
+
+def test_several_archives_and_one_of_another_attempt(spark, tmp_path):
+    texts = [f"<p>{i % 4}</p>" * 300 for i in range(40)]
+    df = spark.createDataFrame([(min(i, 37), t) for i, t in enumerate(texts)], "page_id long, html string").coalesce(2)
+    (tmp_path / "000000-000099-left.warc.gz").write_bytes(warc.record(99, "u", b"x", hashlib.sha1(b"x").digest(), 1, None))
+    archives = warc.write_archives(df, tmp_path.as_uri(), archive_bytes=1)
+    got = warc.read_archives(archives).collect()
+    assert archives.count() == len(got) == 40 and all(r.page_id != 99 for r in got)
+    last = {k: max(min(i, 37) for i in range(40) if i % 4 == k) for k in range(4)}
+    assert sorted(r.page_id for r in got if r.record_type == "response") == sorted(min(i, 37) for i in range(40) if min(i, 37) == last[i % 4])
 
 
 def test_archive_faults():
