@@ -5,8 +5,12 @@ expression over that form with a priority and a keyword; it runs only on texts
 that hold its keyword, and no rule runs on a text without any of a few gate
 words. Rules are the written name patterns below in the phrasings of
 ``CONTEXTS``, and written patterns of licence texts. Detections are intervals
-of words. Of overlapping ones, among them those that contain one another, the
-one of higher priority, then the longer, then that of the earlier rule stays.
+of words. Those of higher priority, then the longer, then those of the earlier
+rule, then those that start first are accepted; one that overlaps an accepted
+one, be it within it, about it or beside it, is suppressed.
+
+Patterns are literals, so that each is compiled once: a text that holds a
+rule's keyword is searched for the name, then for the name's phrasings.
 """
 
 from __future__ import annotations
@@ -51,6 +55,34 @@ NAMES = (
     ("odbl-1.0", "database", rf"open (?:data commons open )?database{_LICENSE}(?: {_V}1(?: 0)?)?"), ("odc-by-1.0", "data commons", rf"open data commons attribution{_LICENSE}(?: {_V}1(?: 0)?)?"), ("pddl-1.0", "public domain dedication", rf"public domain dedication and{_LICENSE}"), ("cdla-permissive", "community data", rf"community data{_LICENSE} agreement permissive"), ("cdla-sharing", "community data", rf"community data{_LICENSE} agreement sharing"), ("ogl-uk-3.0", "open government", rf"open government{_LICENSE}(?: {_V}3(?: 0)?)?"),
     ("openrail", "openrail", rf"(?:creativeml |bigscience )?open ?rail(?: m)?(?:{_LICENSE})?"), ("proprietary", "proprietary", rf"proprietary(?: software)?{_LICENSE}"),
 )
+MORE_NAMES = (
+    ("aal", "attribution assurance", rf"attribution assurance{_LICENSE}"), ("adobe-2006", "adobe", rf"adobe systems incorporated source code{_LICENSE}"), ("adsl", "amazon digital", rf"amazon digital services{_LICENSE}"), ("afl-1.2", "academic free", rf"academic free{_LICENSE} {_V}1 2"),
+    ("afl-2.0", "academic free", rf"academic free{_LICENSE} {_V}2 0"), ("afl-2.1", "academic free", rf"academic free{_LICENSE} {_V}2 1"), ("aladdin", "aladdin", rf"aladdin free{_LICENSE}"), ("apsl-1.2", "apple public", rf"apple{_LICENSE} {_V}1 2"),
+    ("apsl-2.0", "apple public", rf"apple{_LICENSE}(?: {_V}2(?: 0)?)?"), ("beerware", "beer ware", rf"beer ?ware{_LICENSE}"), ("bittorrent-1.1", "bittorrent", rf"bittorrent open source{_LICENSE}(?: {_V}1 [01])?"), ("blueoak-1.0.0", "blue oak", rf"blue oak model{_LICENSE}(?: {_V}1 0 0)?"),
+    ("cal-1.0", "cryptographic autonomy", rf"cryptographic autonomy{_LICENSE}(?: {_V}1(?: 0)?)?"), ("caldera", "caldera", rf"caldera{_LICENSE}"), ("catosl-1.1", "computer associates", rf"computer associates trusted open source{_LICENSE}(?: {_V}1 1)?"), ("cecill-2.0", "cecill", rf"cecill(?: free software)?{_LICENSE}(?: agreement)? {_V}2(?: 0)?"),
+    ("cecill-2.1", "cecill", rf"cecill(?: free software)?{_LICENSE}(?: agreement)? {_V}2 1"), ("cecill-b", "cecill b", rf"cecill b(?: free software)?{_LICENSE}"), ("cecill-c", "cecill c", rf"cecill c(?: free software)?{_LICENSE}"), ("clartistic", "clarified artistic", rf"clarified artistic{_LICENSE}"),
+    ("cnri-python", "cnri", rf"cnri(?: python| open source| jython)?{_LICENSE}"), ("condor-1.1", "condor", rf"condor{_LICENSE}(?: {_V}1 1)?"), ("cpal-1.0", "common public attribution", rf"common public attribution{_LICENSE}(?: {_V}1(?: 0)?)?"), ("cpol-1.02", "code project", rf"(?:the )?code project open{_LICENSE}(?: {_V}1 02)?"),
+    ("cua-opl-1.0", "cua office", rf"cua office{_LICENSE}(?: {_V}1(?: 0)?)?"), ("curl", "curl", rf"curl{_LICENSE}"), ("d-fsl-1.0", "deutsche freie", rf"deutsche freie software lizenz|german free software{_LICENSE}"), ("ecl-1.0", "educational community", rf"educational community{_LICENSE} {_V}1(?: 0)?"),
+    ("ecl-2.0", "educational community", rf"educational community{_LICENSE}(?: {_V}2(?: 0)?)?"), ("efl-2.0", "eiffel forum", rf"eiffel forum{_LICENSE}(?: {_V}[12](?: 0)?)?"), ("entessa", "entessa", rf"entessa{_LICENSE}"), ("etalab-2.0", "etalab", rf"etalab open{_LICENSE}(?: {_V}2(?: 0)?)?"),
+    ("eudatagrid", "datagrid", rf"eu datagrid(?: software)?{_LICENSE}"), ("fair", "fair", rf"fair{_LICENSE}"), ("frameworx-1.0", "frameworx", rf"frameworx(?: open)?{_LICENSE}(?: {_V}1(?: 0)?)?"), ("ftl", "freetype", rf"freetype(?: project)?{_LICENSE}"),
+    ("gemma", "gemma", r"gemma terms of use"), ("gl2ps", "gl2ps", rf"gl2ps{_LICENSE}"), ("gnuplot", "gnuplot", rf"gnuplot{_LICENSE}"), ("hippocratic-2.1", "hippocratic", rf"hippocratic{_LICENSE}(?: {_V}[123] [0-9])?"),
+    ("hpnd", "historical permission", rf"historical permission notice and disclaimer(?:{_LICENSE})?"), ("icu", "icu", rf"icu{_LICENSE}"), ("ijg", "jpeg group", rf"independent jpeg group{_LICENSE}"), ("imagemagick", "imagemagick", rf"imagemagick{_LICENSE}"),
+    ("info-zip", "info zip", rf"info zip{_LICENSE}"), ("intel", "intel", rf"intel open source{_LICENSE}"), ("interbase-1.0", "interbase", rf"interbase{_LICENSE}(?: {_V}1(?: 0)?)?"), ("ipa", "ipa font", rf"ipa font{_LICENSE}"),
+    ("jasper-2.0", "jasper", rf"jasper{_LICENSE}(?: {_V}2(?: 0)?)?"), ("json", "json", rf"json{_LICENSE}"), ("latex2e", "latex2e", rf"latex2e{_LICENSE}"), ("leptonica", "leptonica", rf"leptonica{_LICENSE}"),
+    ("liliq-p-1.1", "liliq p", rf"(?:licence libre du quebec permissive|liliq p)(?: {_V}1 1)?"), ("liliq-r-1.1", "liliq r", rf"liliq r(?: {_V}1 1)?"), ("llama2", "llama 2", rf"llama 2 community{_LICENSE}"), ("llama3", "llama 3", rf"(?:meta )?llama 3(?: [0-9])? community{_LICENSE}"),
+    ("lpl-1.02", "lucent", rf"lucent{_LICENSE}(?: {_V}1 0[02]?)?"), ("lppl-1.3c", "latex project", rf"latex project{_LICENSE}(?: {_V}1 3c?)?{_LATER}"), ("miros", "miros", rf"miros{_LICENSE}"), ("motosoto", "motosoto", rf"motosoto open source{_LICENSE}"),
+    ("mulanpsl-2.0", "mulan", rf"mulan (?:psl|permissive software{_LICENSE})(?: {_V}2)?"), ("multics", "multics", rf"multics{_LICENSE}"), ("nasa-1.3", "nasa", rf"nasa open source(?: agreement|{_LICENSE})(?: {_V}1 3)?"), ("naumen", "naumen", rf"naumen{_LICENSE}"),
+    ("nbpl-1.0", "net boolean", rf"net boolean{_LICENSE}(?: {_V}1(?: 0)?)?"), ("netcdf", "netcdf", rf"netcdf{_LICENSE}"), ("ngpl", "nethack", rf"nethack general{_LICENSE}"), ("nokia", "nokia", rf"nokia open source{_LICENSE}"),
+    ("nosl", "netizen", rf"netizen open source{_LICENSE}"), ("npl-1.1", "netscape", rf"netscape{_LICENSE}(?: {_V}1 [01])?"), ("nposl-3.0", "non profit open", rf"non profit open software{_LICENSE}(?: {_V}3(?: 0)?)?"), ("ntp", "ntp", rf"ntp{_LICENSE}"),
+    ("oclc-2.0", "oclc", rf"oclc research{_LICENSE}(?: {_V}2(?: 0)?)?"), ("ogl-canada-2.0", "government licence canada", rf"open government{_LICENSE} canada"), ("oldap-2.8", "openldap", rf"openldap{_LICENSE}(?: {_V}2 8)?"), ("oset-pl-2.1", "oset", rf"oset(?: foundation)?{_LICENSE}(?: {_V}2 1)?"),
+    ("parity-7.0", "parity", rf"parity{_LICENSE}(?: {_V}[67] 0(?: 0)?)?"), ("polyform-noncommercial-1.0", "polyform", rf"polyform noncommercial{_LICENSE}(?: {_V}1(?: 0 0)?)?"), ("polyform-small-business-1.0", "polyform", rf"polyform small business{_LICENSE}(?: {_V}1(?: 0 0)?)?"), ("prosperity-3.0", "prosperity", rf"prosperity{_LICENSE}(?: {_V}3(?: 0 0)?)?"),
+    ("qpl-1.0", "q public", rf"q{_LICENSE}(?: {_V}1(?: 0)?)?"), ("rhecos-1.1", "red hat ecos", rf"red hat ecos{_LICENSE}(?: {_V}1 1)?"), ("rpl-1.5", "reciprocal public", rf"reciprocal{_LICENSE}(?: {_V}1 [15])?"), ("rpsl-1.0", "realnetworks", rf"realnetworks public source{_LICENSE}(?: {_V}1(?: 0)?)?"),
+    ("rscpl", "ricoh", rf"ricoh source code{_LICENSE}"), ("sendmail", "sendmail", rf"sendmail{_LICENSE}"), ("sgi-b-2.0", "sgi free", rf"sgi free software{_LICENSE} b(?: {_V}2 0)?"), ("simpl-2.0", "simple public", rf"simple{_LICENSE}(?: {_V}2 0)?"),
+    ("sissl", "sun industry", rf"sun industry standards source{_LICENSE}(?: {_V}1 [12])?"), ("sleepycat", "sleepycat", rf"sleepycat{_LICENSE}"), ("spl-1.0", "sun public", rf"sun{_LICENSE}(?: {_V}1(?: 0)?)?"), ("sugarcrm-1.1.3", "sugarcrm", rf"sugarcrm{_LICENSE}(?: {_V}1 1 3)?"),
+    ("tcl", "tcl", rf"tcl(?: tk)?{_LICENSE}"), ("unicode-3.0", "unicode", rf"unicode{_LICENSE}(?: {_V}3)?"), ("upl-1.0", "universal permissive", rf"universal permissive{_LICENSE}(?: {_V}1(?: 0)?)?"), ("vim", "vim", rf"vim{_LICENSE}"),
+    ("vsl-1.0", "vovida", rf"vovida software{_LICENSE}(?: {_V}1(?: 0)?)?"), ("w3c", "w3c", rf"w3c(?: software(?: notice and)?| document)?{_LICENSE}"), ("watcom-1.0", "watcom", rf"sybase open watcom{_LICENSE}(?: {_V}1(?: 0)?)?"), ("xfree86-1.1", "xfree86", rf"xfree86{_LICENSE}(?: {_V}1 1)?"),
+    ("ypl-1.1", "yahoo", rf"yahoo{_LICENSE}(?: {_V}1 [01])?"), ("zend-2.0", "zend", rf"zend{_LICENSE}(?: {_V}2(?: 0)?)?"), ("zimbra-1.4", "zimbra", rf"zimbra{_LICENSE}(?: {_V}1 [34])?"), ("zpl-2.1", "zope", rf"zope{_LICENSE}(?: {_V}[12] [01])?"),
+)
 _CC = r"(?:creative commons|cc)"
 _CC_END = r"(?:{0})?(?: {1}(?:4 0|3 0|2 5|2 0|1 0|[1-4]))?(?: (?:international|unported|generic))?(?:{0})?".format(_LICENSE, _V)
 CREATIVE = (
@@ -74,6 +106,8 @@ PASSAGES = (
 #: Every rule's pattern takes one of these words.
 GATES = ("licen", "spdx", "permission", "permitted", "redistribut", "released", "distributed", "published", "provided", "offered", "covered", "available", "subject to", "governed by", "under", "terms", "copy of", "comply with", "compliance with", "see", "public domain", "cc0", "all rights reserved", "shall be included", "cc by", "creative commons")
 PASSAGE = 3, 0.9
+#: Of a name that says that it is a licence, without any phrasing about it.
+TITLE = 0, 0.4
 
 
 @dataclass(frozen=True)
@@ -86,20 +120,32 @@ class Rule:
     weight: float
 
 
-def rules() -> list[Rule]:
-    """All rules in their order; patterns are over " word word ", take the space before them and leave that after."""
+def _taken(pattern: str) -> str:
+    """A pattern over " word word ": it takes the space before the words and leaves that after them."""
+    return rf" (?:{pattern})(?= )"
+
+
+def _families() -> list[tuple[str, str, list[Rule]]]:
+    """(keyword, pattern that any match of the rules holds, rules), in the order of the rules."""
     out = []
     creative = [(label, word, f"{_CC} {kind}{_CC_END}") for label, kind in CREATIVE for word in ("cc by", "creative commons")]
-    for i, (label, keyword, pattern) in enumerate((*NAMES, *creative)):
-        for context, around, priority, weight in CONTEXTS:
-            out.append(Rule(f"{label}:{context}:{i}", label, keyword, rf" (?:{around.format(f'(?:{pattern})')})(?= )", priority, weight))
-    for label, word, pattern in creative:  # these names are plain enough on their own
-        out.append(Rule(f"{label}:name:{word}", label, word, rf" (?:{pattern})(?= )", 1, 0.7))
+    for i, (label, keyword, pattern) in enumerate((*NAMES, *MORE_NAMES, *creative)):
+        family = [Rule(f"{label}:{context}:{i}", label, keyword, _taken(around.format(f"(?:{pattern})")), priority, weight) for context, around, priority, weight in CONTEXTS]
+        if pattern.startswith(_CC):
+            family.append(Rule(f"{label}:name:{i}", label, keyword, _taken(pattern), 1, 0.7))  # these names are plain enough on their own
+        elif _LICENSE in pattern and f"(?:{_LICENSE})?" not in pattern:
+            family.append(Rule(f"{label}:title:{i}", label, keyword, _taken(pattern), *TITLE))
+        out.append((keyword, _taken(pattern), family))
     for i, (label, keyword, pattern) in enumerate(PASSAGES):
-        out.append(Rule(f"{label}:text:{i}", label, keyword, rf" (?:{pattern})(?= )", *PASSAGE))
+        out.append((keyword, _taken(pattern), [Rule(f"{label}:text:{i}", label, keyword, _taken(pattern), *PASSAGE)]))
     return out
 
 
+def rules() -> list[Rule]:
+    """All rules in their order."""
+    return [r for _, _, family in _families() for r in family]
+
+
 def _words(x: Column) -> Column:
     """Spaces: words of a stretch that begins with a space and ends before one."""
     return F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" ")))
@@ -117,27 +163,38 @@ def _places(text: Column, pattern: Column) -> Column:
 _DETECTION = "struct<start:int,end:int,priority:int,n:int,label:string,rule:string,weight:double>"
 
 
-def _detections(text: Column) -> Column:
-    """All matches of the rules whose keyword the text holds."""
-    table = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(r.name).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight")) for n, r in enumerate(rules())))
-    held = F.filter(table, lambda r: F.contains(text, r["keyword"]))
-    of = lambda r: F.transform(_places(text, r["pattern"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), r["priority"].alias("priority"), r["n"].alias("n"), r["label"].alias("label"), r["rule"].alias("rule"), r["weight"].alias("weight")))
-    return F.flatten(F.transform(held, of))
+def _held(text: str) -> Column:
+    """Numbers of the rules that match a text column; literal patterns, each tried where its keyword and then its name is there.
+
+    Written as SQL: as many columns made one by one take the driver several seconds.
+    """
+    out, n = [], 0
+    for keyword, name, family in _families():
+        numbers = ", ".join(f"CASE WHEN {text} RLIKE r'{r.pattern}' THEN {n + k} END" for k, r in enumerate(family))
+        out.append(f"CASE WHEN contains({text}, '{keyword}') AND {text} RLIKE r'{name}' THEN array({numbers}) END")
+        n += len(family)
+    return F.expr(f"filter(flatten(filter(array({', '.join(out)}), x -> x IS NOT NULL)), x -> x IS NOT NULL)")
 
 
-def _resolved(found: Column) -> Column:
-    """Of overlapping detections the best, in one sweep from left to right."""
-    none, one = F.lit(None).cast(_DETECTION), F.array().cast(f"array<{_DETECTION}>")
-    ordered = F.transform(F.array_sort(F.transform(found, lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("e"), (-d["priority"]).alias("p"), d["n"].alias("n"), d.alias("d")))), lambda x: x["d"])
-    rank = lambda d: F.struct(d["priority"].alias("p"), (d["end"] - d["start"]).alias("length"), (-d["n"]).alias("n"))
+def _detections(text: str) -> Column:
+    """All matches of the rules in a text column."""
+    table = ", ".join(f"named_struct('rule', '{r.name}', 'label', '{r.label}', 'pattern', r'{r.pattern}', 'priority', {r.priority}, 'weight', {r.weight}D)" for r in rules())
+    of = lambda n, r: F.transform(_places(F.col(text), r["pattern"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), r["priority"].alias("priority"), n.alias("n"), r["label"].alias("label"), r["rule"].alias("rule"), r["weight"].alias("weight")))
+    return F.flatten(F.transform(_held(text), lambda n: of(n, F.get(F.expr(f"array({table})"), n))))
 
-    def step(s: Column, d: Column) -> Column:
-        last = s["last"]
-        apart = last.isNull() | (d["start"] >= last["end"])
-        out = F.when(apart & last.isNotNull(), F.concat(s["out"], F.array(last))).otherwise(s["out"])
-        return F.struct(out.alias("out"), F.when(apart | (rank(d) > rank(last)), d).otherwise(last).alias("last"))
 
-    return F.aggregate(ordered, F.struct(one.alias("out"), none.alias("last")), step, lambda s: F.when(s["last"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["last"]))))
+def _resolved(found: Column) -> Column:
+    """The accepted detections, by their places; those that overlap one another, be it through others, are looked at together."""
+    kind, group = f"array<{_DETECTION}>", F.array().cast(f"array<{_DETECTION}>")
+    ordered = F.array_sort(found)  # by start
+    step = lambda s, d: F.when(d["start"] < s["end"], F.struct(s["out"].alias("out"), F.concat(s["now"], F.array(d)).alias("now"), F.greatest(s["end"], d["end"]).alias("end"))).otherwise(
+        F.struct(F.concat(s["out"], F.array(s["now"])).alias("out"), F.array(d).alias("now"), d["end"].alias("end"))
+    )
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("out"), group.alias("now"), F.lit(-1).alias("end"))
+    groups = F.aggregate(ordered, start, step, lambda s: F.concat(s["out"], F.array(s["now"])))
+    ranked = lambda g: F.transform(F.array_sort(F.transform(g, lambda d: F.struct((-d["priority"]).alias("p"), (d["start"] - d["end"]).alias("length"), d["n"].alias("n"), d["start"].alias("start"), d.alias("d")))), lambda x: x["d"])
+    accept = lambda g: F.aggregate(ranked(g), group, lambda kept, d: F.when(F.exists(kept, lambda k: (k["start"] < d["end"]) & (d["start"] < k["end"])), kept).otherwise(F.concat(kept, F.array(d))))
+    return F.array_sort(F.flatten(F.transform(groups, accept)))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -156,11 +213,11 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     # keywords that hold a shorter one needn't be looked for themselves
     least = [k for k in keywords if not any(o != k and o in k for o in keywords)]
     may_hold = any_([*dict.fromkeys([*least, "cc by nc"])])
-    gated = low.select("doc_id", (_words(F.col("__p")) - 1).cast("long").alias("n_words"), F.when(may_hold & any_(GATES), F.translate("__p", UPPER, LOWER)).alias("__t"))
+    gated = low.select("doc_id", (_words(F.col("__p")) - 1).cast("long").alias("n_words"), F.when(any_(GATES) & may_hold, F.translate("__p", UPPER, LOWER)).alias("__t"))
     nothing = F.array().cast("array<struct<start:int,end:int,label:string>>")
     named = lambda label: lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(label).alias("label"))
     base = F.concat(*(F.when(F.contains("__t", F.lit(f" {p} ")), F.transform(_places(F.col("__t"), F.lit(f" {p}(?= )")), named(label))).otherwise(nothing) for p, label in BASE))
-    found = gated.select("doc_id", "n_words", F.when(F.col("__t").isNull(), nothing).otherwise(base).alias("__b"), F.when(F.col("__t").isNull(), F.array().cast(f"array<{_DETECTION}>")).otherwise(_resolved(_detections(F.col("__t")))).alias("__d"))
+    found = gated.select("doc_id", "n_words", F.when(F.col("__t").isNull(), nothing).otherwise(base).alias("__b"), F.when(F.col("__t").isNull(), F.array().cast(f"array<{_DETECTION}>")).otherwise(_resolved(_detections("__t"))).alias("__d"))
     labels = lambda *a: F.array_join(F.array_sort(F.array_distinct(F.concat(*a))), ",")
     ours = F.transform("__d", lambda d: d["label"])
     theirs = F.transform("__b", lambda b: b["label"])
