@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import small_batches, written
+from lanewise.llm.common import drop, small_batches, spread_join, written
 from lanewise.llm.components import connected_components
 
 #: Subspaces, vectors of a part, rows compared at once, and vectors of the sample that sets the axes.
@@ -177,8 +177,9 @@ def near_embeddings(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     all_ = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"))
     finite = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     rows = all_.where(finite).select(F.col("vec_id").alias("id"), "v")
-    classes = written(rows.groupBy("v").agg(F.count(F.lit(1)).alias("mult")).withColumn("cid", F.monotonically_increasing_id()), "vectors")
-    members = written(rows.join(classes, "v").select("id", "cid", "mult"), "members")
+    classes = written(rows.groupBy("v").agg(F.count(F.lit(1)).alias("mult"), F.min("id").alias("least")).withColumn("cid", F.monotonically_increasing_id()), "vectors")
+    total = classes.agg(F.sum("mult")).first()[0] or 0
+    members = written(spread_join(rows, classes.select("v", "cid", "mult"), "v", "mult", total, "id").select("id", "cid"), "members")
     axes = {}
     for n in [r[0] for r in classes.groupBy(F.size("v")).count().collect()]:  # one for each length of vectors
         of = classes.where(F.size("v") == n)
@@ -186,16 +187,21 @@ def near_embeddings(vectors: DataFrame, least: float = 0.9) -> DataFrame:
         axes[n] = _axes(_units(few.column("v"), n)) if few.num_rows else np.eye(n)[:, [i for j in range(BLOCKS) for i in range(j, n, BLOCKS)]]
     cells = written(classes.select("cid", "v").mapInArrow(_cells(least, axes), "cid long, cell string, home boolean"), "cells")
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("home").cast("int")).alias("h")).where("m > 1 and h > 0")
-    placed = cells.join(sizes.select("cell", F.ceil(F.col("m") / PART).cast("int").alias("k")), "cell").withColumn("own", F.pmod(F.xxhash64("cid"), "k").cast("int"))
+    placed = spread_join(cells, sizes.select("cell", "m", F.ceil(F.col("m") / PART).cast("int").alias("k")), "cell", "m", cells.count(), "cid").withColumn("own", F.pmod(F.xxhash64("cid"), "k").cast("int"))
     placed = placed.join(classes, "cid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     parts = placed.select("cell", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "home", "cid", "mult", "v")
     found = written(parts.groupBy("cell", "x", "y").applyInArrow(_links(least, axes), "cid long, to long, n long"), "links")
     counts = found.groupBy("cid").agg(F.sum("n").alias("linked"))
-    shared = members.groupBy("id").agg(F.min("cid").alias("src"), F.max("cid").alias("most")).where("src < most").drop("most")
-    edges = found.where("to is not null").select(F.col("cid").alias("src"), F.col("to").alias("dst")).union(members.join(shared, "id").select("src", F.col("cid").alias("dst")))
-    roots = members.join(connected_components(edges).withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("component", "cid"))
-    least_id = roots.groupBy("root").agg(F.min("id").alias("component_id"))
-    out = roots.join(least_id, "root").join(counts, "cid", "left")
-    out = out.select(F.col("id").alias("vec_id"), (F.coalesce("linked", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component_id")
+    once = members.distinct()
+    shared = once.groupBy("id").agg(F.min("cid").alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    same_id = spread_join(once, shared, "id", "n", total, "cid").select("src", F.col("cid").alias("dst"))
+    edges = found.where("to is not null").select(F.col("cid").alias("src"), F.col("to").alias("dst")).union(same_id)
+    # classes first, then the rows of each
+    joined = classes.select("cid", "mult", "least").join(connected_components(edges).withColumnRenamed("id", "cid"), "cid", "left").join(counts, "cid", "left")
+    joined = written(joined.select("cid", "mult", "least", F.coalesce("component", "cid").alias("root"), (F.coalesce("linked", F.lit(0)) + F.col("mult") - 1).alias("n_links")), "joined")
+    roots = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    each = spread_join(joined, roots, "root", "n", joined.count(), "cid").select("cid", "mult", "n_links", "component_id")
+    out = spread_join(members, each, "cid", "mult", total, "id").select(F.col("id").alias("vec_id"), "n_links", "component_id")
+    drop(cells, found)
     out = out.union(all_.where(~finite).select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
