@@ -26,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local temporary folder only where that is unset."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder where that is unset and all tasks run in this machine, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _unset_folder:
         _unset_folder.append("file://" + tempfile.mkdtemp(prefix="lanewise-"))
     return _unset_folder[0]
@@ -113,7 +115,10 @@ def may_hold(sent: Broadcast, slots: Column) -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows and bytes, so that very long texts don't fill a Python worker."""
+    """Bound Arrow batches by rows and bytes, so that very long texts don't fill a Python worker.
+
+    The bounds are settings of the session and stay: a plan reads them when it is run, after the operator has returned.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

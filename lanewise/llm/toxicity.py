@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lanewise.llm.common import drop, small_batches, utf8, written
 
-#: Bounds of the training sample: documents drawn by the hash of their id, in expectation. Scoring has no such bound.
+#: Default bounds of the training sample: confirmed toxic documents and unlabelled ones, drawn by the hash of their id, in expectation. Scoring has no such bound.
 MOST_POSITIVE, MOST_UNLABELLED = 4_000, 12_000
 FEATURES, BEGINNINGS, LEAST_DOCS, LEAST_RATIO = 1024, (4, 5, 6), 3, 2.0
 THRESHOLD = 0.3
@@ -105,35 +105,48 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), *(pa.array([counts[k][x] for x in part], pa.int64()) for k in (True, False))], ["f", "p", "u"])
 
 
+def risk(w: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The two terms of the PU risk (positives, unseen negatives before it is kept from going below zero) and their gradients; the last of w is the bias."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    bias = w[-1].astype(xp.dtype)
+    zp, zu = xp @ w[:-1].astype(xp.dtype) + bias, xu @ w[:-1].astype(xu.dtype) + bias
+    positive, negative = prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+
+    def mean(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.append(y.astype(x.dtype) @ x, y.sum()).astype(np.float64) / len(x)
+
+    return float(positive), float(negative), -prior * mean(xp, sigmoid(-zp)), mean(xu, sigmoid(zu)) - prior * mean(xp, sigmoid(zp))
+
+
 def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, decay: float, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights and bias of the non-negative PU risk with logistic loss and weight decay, by Adam on all rows at once.
 
     Batches would estimate the second term of the risk too badly where
     positives are few, and its correction would undo what the first one learns.
     """
-    xp, xu = (np.hstack([x[k].astype(np.float32), np.ones((int(k.sum()), 1), np.float32)]) for k in (positive, ~positive))
+    xp, xu = (x[k].astype(np.float32) for k in (positive, ~positive))
     w = np.zeros(x.shape[1] + 1)
     w[-1] = math.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
-    sigmoid = lambda z: (1 / (1 + np.exp(-np.clip(z, -40, 40)))).astype(np.float32)
     for t in range(1, steps + 1):
-        zp, zu = xp @ w.astype(np.float32), xu @ w.astype(np.float32)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        of_negative = xu.T @ sigmoid(zu) / len(xu) - prior * (xp.T @ sigmoid(zp)) / len(xp)
-        grad = (of_negative - prior * (xp.T @ sigmoid(-zp)) / len(xp) if negative >= 0 else -of_negative).astype(np.float64)
+        _, negative, of_positive, of_negative = risk(w, xp, xu, prior)
+        grad = of_positive + of_negative if negative >= 0 else -of_negative
         grad[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model:
     """A model from docs(doc_id, text) and labels(doc_id, toxic), of rows that are not held_out alone.
 
     Positives have a label toxic = 1, unlabelled documents no label at all; the
     class prior is PRIOR_SHARE of toxic's share among the labelled. Null ids, labels and
     texts: no part of the training (a null text is an empty one). A document
-    with labels of both kinds counts as toxic. Without positives or without
+    with labels of both kinds counts as toxic. At most about most_positive and
+    most_unlabelled documents are learned from, drawn by the hash of their id
+    (the driver holds them as rows of FEATURES bytes); the choice of features
+    and the fit see these alone, scoring sees every text whole. Without positives or without
     unlabelled documents the model gives every text the prior.
     """
     small_batches(docs.sparkSession)
@@ -141,9 +154,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     prior = known.agg(F.avg("toxic")).first()[0]
     prior = PRIOR_SHARE * min(max(prior if prior is not None else 0.01, 1e-3), 0.9)
     ids = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"))
-    p = _drawn(known.where("toxic = 1").select("doc_id"), MOST_POSITIVE).withColumn("positive", F.lit(True))
-    u = _drawn(ids.join(known, "doc_id", "left_anti").distinct(), MOST_UNLABELLED).withColumn("positive", F.lit(False))
-    chosen = F.broadcast(p.union(u))  # bounded by MOST_POSITIVE + MOST_UNLABELLED
+    p = _drawn(known.where("toxic = 1").select("doc_id"), most_positive).withColumn("positive", F.lit(True))
+    u = _drawn(ids.join(known, "doc_id", "left_anti").distinct(), most_unlabelled).withColumn("positive", F.lit(False))
+    chosen = F.broadcast(p.union(u))  # bounded by most_positive + most_unlabelled
     sample = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).join(chosen, "doc_id"), "sample")
     np_, nu = (sample.where(F.col("positive") == k).count() for k in (True, False))
     if not np_ or not nu:
@@ -186,7 +199,10 @@ def score(model: Model, text: str = "text") -> Column:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs; other columns are no input and not returned."""
+    """doc_id, held_out, score, predicted for every row of docs; other columns are no input and not returned.
+
+    Repeated ids keep a row each, scored by its own text; a null text is an empty one.
+    """
     scored = docs.select("doc_id", held_out().alias("held_out"), score(train(docs, labels)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 

@@ -355,6 +355,37 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in out) and len(out) == docs.count()
 
 
+def test_pu_risk_and_its_gradient():
+    rng = np.random.default_rng(3)
+    xp, xu, prior = rng.integers(0, 2, (7, 4)).astype(float), rng.integers(0, 2, (11, 4)).astype(float), 0.2
+    w = rng.standard_normal(5)
+    loss = lambda z: np.log1p(np.exp(-z))
+    score = lambda x, w: x @ w[:4] + w[4]
+    by_hand = lambda w: (prior * np.mean([loss(score(x, w)) for x in xp]), np.mean([loss(-score(x, w)) for x in xu]) - prior * np.mean([loss(-score(x, w)) for x in xp]))
+    got = toxicity.risk(w, xp, xu, prior)
+    assert got[:2] == pytest.approx(by_hand(w))
+    for term in (0, 1):
+        slope = [(by_hand(w + h)[term] - by_hand(w - h)[term]) / 2e-6 for h in np.eye(5) * 1e-6]
+        assert got[2 + term] == pytest.approx(slope, abs=1e-6)
+
+
+def test_unlabelled_positives_are_not_learned_as_negatives():
+    rng = np.random.default_rng(9)
+    toxic = rng.random(4000) < 0.1
+    x = (rng.random((4000, 6)) < np.where(toxic, 0.7, 0.05)[:, None]).astype(np.uint8)
+    labelled = toxic & (rng.random(4000) < 0.3)
+    weights, bias = toxicity.fit_nnpu(x, labelled, float(toxic[~labelled].mean()), 1e-4)
+    z = x @ weights + bias
+    hidden, clean = z[toxic & ~labelled], z[~toxic]
+    assert np.mean(hidden[:, None] > clean[None, :]) > 0.97 and (hidden > 0).mean() > 0.8 and (clean > 0).mean() < 0.02
+
+
+def test_bounds_of_the_training_sample(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    few = toxicity.train(docs, labels, most_positive=5, most_unlabelled=20)
+    assert all(0 < few.scorer()(t) < 1 for t in (b"", b"idiot " * 100_000))
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (None, "x", 5), (3, "y " * 9, 5)], "doc_id long, text string, score int")
     labels = spark.createDataFrame([(None, 1), (1, None)], "doc_id long, toxic int")
@@ -380,3 +411,17 @@ def test_pipeline(spark):
         last = now
     packed = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in last.collect()}
+
+
+def test_pipeline_on_empty_and_clashing_tables(spark, tmp_path):
+    tables = {
+        "documents": spark.createDataFrame([(1, None, "en", "s", 1, "x", 1.0), (None, "a b", None, None, None, None, None), (2, "idiot " * 9, "en", "s", 1, "y", 2.0)], "doc_id long, text string, lang string, source string, n_chars int, component string, score double"),
+        "labels": spark.createDataFrame([(1, 0, 0), (None, None, None)], "doc_id long, quality int, toxic int"), "benchmark": spark.createDataFrame([(1, None), (None, "")], "item_id long, text string"),
+    }
+    for n, name in enumerate(("some", "none")):
+        for t, df in tables.items():
+            (df.limit(0) if n else df).coalesce(1).write.parquet(str(tmp_path / name / f"{t}.parquet"))
+        assert corpus_pipeline.run(spark, str(tmp_path / name)).count() == (0 if n else 3)
+        last = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, last, str(tmp_path / name)).columns == last.columns
