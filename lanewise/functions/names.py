@@ -67,10 +67,27 @@ def result_label(path: Column | str) -> Column:
     return F.when(level == "", title_case(F.translate(stem, "_", " "))).otherwise(F.concat(F.upper(F.translate(cpu, "_", " ")), F.lit(" ("), shown, F.lit(")")))
 
 
+def _one_decimal(v: Column, by: int) -> Column:
+    """v / by with one decimal, v a whole number: the quotient in double precision, as it is to its last bit, rounded to the nearest.
+
+    Halves of a tenth have no exact double but for multiples of a quarter, which
+    go to the even tenth; of others the quotient's error decides: it is the sign
+    of q * by - v, exact in two parts of q.
+    """
+    q = v / F.lit(float(by))
+    high = q * F.lit(134217729.0) - (q * F.lit(134217729.0) - q)
+    error = (high * by - v) + (q - high) * by
+    tenths = F.floor(v * 10 / F.lit(by)).cast("long")
+    twice = v * 20 - tenths * (2 * by)  # over the lower tenth, in units of a twentieth of by
+    up = (twice > by) | ((twice == by) & ((error > 0) | ((error == 0) & (tenths % 2 == 1))))
+    rounded = tenths + up.cast("long")
+    return F.concat(F.floor(rounded / F.lit(10)).cast("long").cast("string"), F.lit("."), (rounded % 10).cast("string"))
+
+
 def axis_label(value: Column | str) -> Column:
-    """A whole number of at least 0 as 0, 512, 4K, 1.5K or 2M; halves of a tenth go up."""
+    """A whole number of at least 0 as 0, 512, 4K, 1.5K or 2M."""
     v = _c(value)
-    scaled = lambda by, unit: F.when(v % by == 0, F.concat((v / by).cast("long").cast("string"), F.lit(unit))).otherwise(F.format_string(f"%.1f{unit}", v / F.lit(float(by))))
+    scaled = lambda by, unit: F.when(v % by == 0, F.concat((v / by).cast("long").cast("string"), F.lit(unit))).otherwise(F.concat(_one_decimal(v, by), F.lit(unit)))
     return F.when(v >= 1_000_000, scaled(1_000_000, "M")).when(v >= 1_000, scaled(1_000, "K")).otherwise(v.cast("long").cast("string"))
 
 

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.functions import benchmark, levels, names, vectors
 from lanewise.operators import kernels, results, stats, verify
-from lanewise.operators.registry import standard
+from lanewise.operators.registry import Registry, standard
 from lanewise.plans import fixtures
-from lanewise.sources import generated
+from lanewise.sources import generated, hardware
+from lanewise.sources import results as files
+from lanewise.sources.work import new_folder, put_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -96,16 +99,24 @@ def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query(f"SELECT count(*) FILTER (WHERE idx < 16 AND a * b <> CAST(CAST(a AS DOUBLE) * CAST(b AS DOUBLE) AS FLOAT)) AS mismatches FROM ({_INPUT.format(n=GENERATED)})")
+_SPOILT = f"SELECT idx, a, b, CASE idx % 1000 WHEN 3 THEN a * b + 1 WHEN 5 THEN NULL WHEN 7 THEN 'nan'::FLOAT WHEN 11 THEN CAST(a * b + 5e-7 AS FLOAT) ELSE a * b END AS out FROM ({_INPUT.format(n=GENERATED)})"
+
+
+def _spoilt(spark: SparkSession) -> DataFrame:
+    """Products, some of them wrong, null, NaN or off by less than the tolerance."""
+    out, n = F.col("a") * F.col("b"), F.col("idx") % 1000
+    spoilt = F.when(n == 3, out + F.lit(1).cast("float")).when(n == 5, F.lit(None)).when(n == 7, F.lit(float("nan"))).when(n == 11, (out + F.lit(5e-7)).cast("float")).otherwise(out)
+    return generated.benchmark_input(spark, GENERATED).withColumn("out", spoilt.cast("float"))
+
+
+@query(f"SELECT idx, a, b FROM ({_SPOILT}) WHERE idx < 16 AND (out IS NULL OR isnan(out) OR out <> a * b)")
 def verify_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = generated.benchmark_input(spark, GENERATED).withColumn("out", (F.col("a").cast("double") * F.col("b").cast("double")).cast("float"))
-    return verify.exact_mismatches(out, "vector_mul_f32").agg(F.count(F.lit(1)).alias("mismatches"))
+    return verify.exact_mismatches(_spoilt(spark), "vector_mul_f32").drop("out")
 
 
-@query(f"SELECT count(*) FILTER (WHERE abs(CAST(CAST(a AS DOUBLE) * CAST(b AS DOUBLE) AS FLOAT) - a * b) > CAST(1e-6 AS FLOAT)) AS failures FROM ({_INPUT.format(n=GENERATED)})")
+@query(f"SELECT count(*) FILTER (WHERE out IS NULL OR isnan(out) OR abs(out - a * b) > CAST(1e-6 AS FLOAT)) AS failures FROM ({_SPOILT})")
 def verify_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = generated.benchmark_input(spark, GENERATED).withColumn("out", (F.col("a").cast("double") * F.col("b").cast("double")).cast("float"))
-    return verify.tolerance_failures(out, "vector_mul_f32")
+    return verify.tolerance_failures(_spoilt(spark), "vector_mul_f32")
 
 
 @query("SELECT count(*) AS observations, count(DISTINCT label) AS levels, count(DISTINCT label) <= 1 AS agreed FROM embeddings")
@@ -187,7 +198,9 @@ _SNAPSHOTS = f"(VALUES {fixtures.values(fixtures.snapshots())}) s(snap_id, max_l
     WHEN (l1_ecx >> 28) & 1 = 1 AND (l1_ecx >> 27) & 1 = 1 AND xcr0 & 6 = 6 THEN 3
     WHEN (l1_ecx >> 20) & 1 = 1 THEN 2 WHEN (l1_edx >> 26) & 1 = 1 THEN 1 ELSE 0 END AS level FROM {_SNAPSHOTS})""")
 def simd_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame(fixtures.snapshots(), "snap_id long, max_leaf long, l1_ecx long, l1_edx long, l7_ebx long, xcr0 long")
+    folder = new_folder(spark, "snapshots")
+    spark.createDataFrame(fixtures.snapshots(), "snap_id long, max_leaf long, l1_ecx long, l1_edx long, l7_ebx long, xcr0 long").write.parquet(folder)
+    df = hardware.read_snapshots(spark.read.parquet(folder))
     df = df.select("snap_id", levels.detected_level().alias("level"))
     return df.select("snap_id", "level", levels.level_name("level").alias("name"))
 
@@ -274,9 +287,14 @@ def axis_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.axis_limit(_results(spark))
 
 
-@query(f"SELECT array_size::BIGINT AS array_size, CASE WHEN array_size >= 1000000 THEN CASE WHEN array_size % 1000000 = 0 THEN (array_size // 1000000)::VARCHAR ELSE printf('%.1f', array_size / 1e6::DOUBLE) END || 'M' WHEN array_size >= 1000 THEN CASE WHEN array_size % 1000 = 0 THEN (array_size // 1000)::VARCHAR ELSE printf('%.1f', array_size / 1e3::DOUBLE) END || 'K' ELSE array_size::VARCHAR END AS label FROM {_SIZES}")
+_HALVES = (0, 999, 1050, 1150, 1250, 1350, 2250, 9950, 999_950, 1_050_000, 1_150_000, 1_250_000, 2_350_000, 12_750_000)
+_TICKS = f"(SELECT * FROM {_SIZES} UNION ALL SELECT * FROM (VALUES {fixtures.values((n,) for n in _HALVES)}) h(array_size))"
+
+
+@query(f"SELECT array_size::BIGINT AS array_size, CASE WHEN array_size >= 1000000 THEN CASE WHEN array_size % 1000000 = 0 THEN (array_size // 1000000)::VARCHAR ELSE printf('%.1f', array_size / 1e6::DOUBLE) END || 'M' WHEN array_size >= 1000 THEN CASE WHEN array_size % 1000 = 0 THEN (array_size // 1000)::VARCHAR ELSE printf('%.1f', array_size / 1e3::DOUBLE) END || 'K' ELSE array_size::VARCHAR END AS label FROM {_TICKS}")
 def axis_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sizes(spark).select("array_size", names.axis_label("array_size").alias("label"))
+    df = _sizes(spark).union(spark.createDataFrame([(n,) for n in _HALVES], "array_size long"))
+    return df.select("array_size", names.axis_label("array_size").alias("label"))
 
 
 @query("SELECT n, CASE n WHEN 1 THEN 'Vector Multiply Performance - a' WHEN 2 THEN 'Vector Multiply Performance - a vs b' ELSE 'Vector Multiply Performance - ' || n || ' CPU Comparison' END AS title FROM (VALUES (1), (2), (3)) t(n)")
@@ -289,3 +307,96 @@ def chart_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chart_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     low, high = benchmark.band("l_quantity", benchmark.gflops_error("l_quantity", "l_extendedprice"))
     return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", low.alias("low"), high.alias("high"), benchmark.second_axis("l_quantity").alias("second_axis"))
+
+
+_READ = "x(array_size, median_ms, mean_ms, stddev_ms, min_ms, max_ms, p99_ms, gflops, simd_level, label, input_pos)"
+_FILES_READ = f"(SELECT * REPLACE (array_size::BIGINT AS array_size) FROM (VALUES {fixtures.values(fixtures.FILES_READ)}) {_READ})"
+
+
+def _files(spark: SparkSession) -> DataFrame:
+    """Three files of a glob, and the last of them again under the first one's label."""
+    folder = new_folder(spark, "files")
+    for name, header, rows in fixtures.FILES:
+        put_text(spark, f"{folder}/{name}", "\n".join((header, *rows)) + "\n")
+    return files.read_results(spark, f"{folder}/results_*.csv", f"{folder}/{fixtures.FILES[2][0]}:{fixtures.FILES_READ[0][9]}")
+
+
+@query(f"SELECT * FROM {_FILES_READ}")
+def read_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark)
+
+
+@query(f"SELECT label, array_size, median_ms, simd_level, input_pos FROM (SELECT *, max(input_pos) OVER (PARTITION BY label) AS last FROM {_FILES_READ}) WHERE input_pos = last")
+def merged_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.last_wins(_files(spark)).select("label", "array_size", "median_ms", "simd_level", "input_pos")
+
+
+_MEASURED = f"(VALUES {fixtures.values(fixtures.MEASURED)}) m(name, simd_level, array_size, median_ms, mean_ms, stddev_ms, min_ms, max_ms, p99_ms, gflops)"
+_TIMES = ("median_ms", "mean_ms", "stddev_ms", "min_ms", "max_ms", "p99_ms")
+_AS_TEXT = {c: f"printf('%.6f', {c})" for c in _TIMES}
+
+
+def _measured(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(fixtures.MEASURED), "cpu string, simd_level string, array_size long, median_ms double, mean_ms double, stddev_ms double, min_ms double, max_ms double, p99_ms double, gflops double")
+
+
+@query(f"SELECT array_size::VARCHAR AS array_size, {', '.join(f'{x} AS {c}' for c, x in _AS_TEXT.items())}, printf('%.4f', gflops) AS gflops, simd_level FROM {_MEASURED}")
+def results_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.as_text(_measured(spark))
+
+
+_FILE = f"'results_' || CASE WHEN name IS NULL THEN 'unknown_cpu' ELSE substr({_SLUG}, 1, 80) END || '_' || replace(replace(lower(simd_level), '-', '_'), '.', '_') || '.csv'"
+
+
+@query(f"SELECT DISTINCT {_FILE} AS file FROM {_MEASURED}")
+def results_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = files.write_results(_measured(spark), new_folder(spark, "results"))
+    return made.select(F.regexp_replace("path", "^.*/", "").alias("file"))
+
+
+@query(f"SELECT array_size::BIGINT AS array_size, {', '.join(f'{x}::DOUBLE AS {c}' for c, x in _AS_TEXT.items())}, gflops, simd_level, CAST(dense_rank() OVER (ORDER BY {_FILE}) - 1 AS INT) AS input_pos FROM {_MEASURED}")
+def results_written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "results")
+    files.write_results(_measured(spark), folder)
+    return files.read_results(spark, f"{folder}/*.csv").drop("label")
+
+
+@query(f"SELECT printf('%10d elements: %.6f ms (mean %.6f, sd %.6f), %.4f GFLOP/s, %s', array_size::BIGINT, median_ms, mean_ms, stddev_ms, gflops, simd_level) AS line FROM {_MEASURED}")
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.report(_measured(spark))
+
+
+@query("SELECT 'AMD EPYC 7452 32-Core Processor' AS model")
+def hardware_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.cpu_model(spark, put_text(spark, new_folder(spark, "hardware") + "/info", fixtures.DESCRIPTION))
+
+
+@query("SELECT 7::BIGINT AS max_leaf, ((1 << 20) + (1 << 27) + (1 << 28))::BIGINT AS l1_ecx, (1 << 26)::BIGINT AS l1_edx, (1 << 5)::BIGINT AS l7_ebx, 6::BIGINT AS xcr0, 'AVX2' AS name")
+def hardware_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.text(put_text(spark, new_folder(spark, "hardware") + "/info", fixtures.DESCRIPTION))
+    return hardware.described(lines).select("*", levels.level_name(levels.detected_level()).alias("name"))
+
+
+#: Threads and how often each asks for the level.
+THREADS, ASKED = 8, 10_000
+
+
+@query(f"SELECT {THREADS * ASKED}::BIGINT AS observations, 1::BIGINT AS levels, true AS agreed")
+def detected_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with ThreadPoolExecutor(THREADS) as pool:
+        seen = list(pool.map(lambda thread: [(thread, i, hardware.detected(spark)) for i in range(ASKED)], range(THREADS)))
+    return verify.agreement(spark.createDataFrame([x for rows in seen for x in rows], "thread_id int, iteration int, level int"))
+
+
+@query("SELECT name, built, error FROM (VALUES ('good', true, NULL), ('missing', false, 'KeyError'), ('nothing', false, 'RuntimeError')) t(name, built, error)")
+def registry_trap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A builder that returns nothing is an error when its operator is asked for, not a silent gap."""
+    registry, rows = Registry(), []
+    registry.register("good", lambda: vectors.vector_add_f32)
+    registry.register("nothing", lambda: None)
+    for name in ("good", "missing", "nothing"):
+        try:
+            rows.append((name, registry[name] is not None, None))
+        except (KeyError, RuntimeError) as wrong:
+            rows.append((name, False, type(wrong).__name__))
+    return spark.createDataFrame(rows, "name string, built boolean, error string")
