@@ -28,7 +28,7 @@ def read_results(spark: SparkSession, *inputs: str) -> DataFrame:
     repeated row stays repeated, and so does a file that is given twice.
     Headers alone come to the driver, one for each file.
     """
-    given: list[tuple[str, str | None, int]] = []
+    given: list[tuple[str, str, str | None, int]] = []
     headers: dict[str, str] = {}
     for spec in inputs:
         path, label = _split(spec)
@@ -39,7 +39,7 @@ def read_results(spark: SparkSession, *inputs: str) -> DataFrame:
             raise ValueError(f"{', '.join(sorted(empty))}: no header")
         for file in sorted(found):
             headers[file] = found[file]
-            given.append((file, label, len(given)))
+            given.append((file, unquote(file), label, len(given)))
     if not given:
         raise ValueError("no input")
     alike: dict[str, list[str]] = {}
@@ -50,9 +50,9 @@ def read_results(spark: SparkSession, *inputs: str) -> DataFrame:
     rows = reduce(DataFrame.union, (_rows_of(spark, files) for files in alike.values()))
     first = rows.groupBy("file").agg(F.min_by("simd_level", "at").alias("simd_level"))
     # one row for each input file, as many as there are headers
-    named = F.broadcast(spark.createDataFrame(given, "file string, label string, input_pos int").join(first, "file"))
+    named = F.broadcast(spark.createDataFrame(given, "file string, name string, label string, input_pos int").join(first, "file"))
     out = rows.drop("simd_level", "at").join(named, "file")
-    return out.select(*COLUMNS, F.coalesce("label", result_label("file")).alias("label"), "input_pos")
+    return out.select(*COLUMNS, F.coalesce("label", result_label("name")).alias("label"), "input_pos")
 
 
 def _rows_of(spark: SparkSession, files: list[str]) -> DataFrame:
