@@ -2,8 +2,10 @@
 
 File: MAGIC, then a zstd frame for each part. The header (JSON) has the number
 of tokens and bits, the zeros of each bit-plane and the documents' ids and
-lengths; each bit-plane follows as a frame of its own, so that a reader may
-open only what it needs. Ranks come from counts of ones before each 512 bits.
+lengths; each bit-plane follows as a frame of its own, opened when it is first
+needed, so that who wants the documents alone opens none. Ranks come from
+counts of ones before each 512 bits. ``tokens_at``, ``token_counts`` and
+``occurrences`` answer from the shards of a folder, each task from its own.
 """
 
 from __future__ import annotations
@@ -11,13 +13,13 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanewise.llm.common import new_path, small_batches, text_or_empty, written
@@ -27,6 +29,8 @@ from lanewise.llm.tokens import default_path, encoder
 MAGIC, END_ID, BLOCK = b"LWWM0001", 0, 64
 #: Tokens after which a task begins its next shard, at the end of a document.
 SHARD_TOKENS = 1 << 21
+#: Characters of a text by which rows of one doc_id are parted.
+BEGINNING = 64
 
 
 def _parted(now: np.ndarray, plane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,7 +43,7 @@ def _parted(now: np.ndarray, plane: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class WaveletMatrix:
     """A sequence of small unsigned integers as bit-planes, with access, rank (counting) and select (occurrence lookup)."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
+    def __init__(self, n: int, planes: Sequence[np.ndarray], zeros: list[int]):
         self.n, self.planes, self.zeros = n, planes, zeros
         self.before: list[np.ndarray | None] = [None] * len(planes)
 
@@ -137,16 +141,29 @@ def load(data: bytes) -> tuple[WaveletMatrix, list[tuple[int | None, int]]]:
     if data[:8] != MAGIC:
         raise ValueError("not a shard file")
     (count,) = struct.unpack_from("<I", data, 8)
-    at, frames = 12 + 4 * count, []
-    for n in struct.unpack_from(f"<{count}I", data, 12):
-        frames.append(zstandard.ZstdDecompressor().decompress(data[at : at + n]))
-        at += n
-    head = json.loads(frames[0])
-    planes = [np.frombuffer(f, np.uint8) for f in frames[1:]]
-    return WaveletMatrix(head["n"], planes, head["zeros"]), list(zip(head["doc_ids"], head["lengths"], strict=True))
+    ends = 12 + 4 * count + np.cumsum([0, *struct.unpack_from(f"<{count}I", data, 12)])
+    frame = lambda k: zstandard.ZstdDecompressor().decompress(data[int(ends[k]) : int(ends[k + 1])])
+    head = json.loads(frame(0))
+    return WaveletMatrix(head["n"], _Planes(head["bits"], lambda k: np.frombuffer(frame(k + 1), np.uint8)), head["zeros"]), list(zip(head["doc_ids"], head["lengths"], strict=True))
 
 
-def _sharder(path: str, bits: int, folder: str):
+class _Planes(Sequence):
+    """Bit-planes that are opened when they are first asked for."""
+
+    def __init__(self, n: int, opened: Callable[[int], np.ndarray]):
+        self.opened, self.kept = opened, [None] * n
+
+    def __len__(self) -> int:
+        return len(self.kept)
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        k = range(len(self.kept))[k]
+        if self.kept[k] is None:
+            self.kept[k] = self.opened(k)
+        return self.kept[k]
+
+
+def _sharder(path: str, bits: int, folder: str, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path), np.uint32(END_ID).tobytes()
         part, size = None, 0
@@ -168,7 +185,7 @@ def _sharder(path: str, bits: int, folder: str):
                 ids.append(one)
                 documents.append((doc, len(one) // 4))
                 size += len(one) // 4
-                if size >= SHARD_TOKENS:
+                if size >= most:
                     close()
         if documents:
             close()
@@ -189,11 +206,12 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(crc), pa.string()), pa.array([d for d, _ in documents], pa.int64()), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())], ["name", "doc_id", "at", "n_tokens", "ids_crc32"])
 
 
-def write_shards(docs: DataFrame, path: str | None = None, folder: str | None = None) -> tuple[str, DataFrame]:
+def write_shards(docs: DataFrame, path: str | None = None, folder: str | None = None, shard_tokens: int = SHARD_TOKENS) -> tuple[str, DataFrame]:
     """Shards of docs(doc_id, text, ...) in ascending doc_id order; (folder, table of name, part, number, tokens).
 
     Documents are dealt by ranges of doc_id, nulls first, rows of one doc_id by
-    their text; a range makes one shard after another. Null texts are empty.
+    their text (its first characters part them between ranges); a range makes
+    one shard after another. Null texts are empty.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -201,8 +219,72 @@ def write_shards(docs: DataFrame, path: str | None = None, folder: str | None =
     bits = max(1, (len(encoder(path).four) - 1).bit_length())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     ranges = max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sorted_ = rows.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").withColumn("part", F.spark_partition_id())
-    return folder, written(sorted_.mapInArrow(_sharder(path, bits, folder), "name string, part int, number int, tokens long"), "shards")
+    sorted_ = rows.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, BEGINNING)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").withColumn("part", F.spark_partition_id())
+    return folder, written(sorted_.mapInArrow(_sharder(path, bits, folder, shard_tokens), "name string, part int, number int, tokens long"), "shards")
+
+
+def shard_starts(shards: DataFrame) -> DataFrame:
+    """name, start (tokens of all shards before it), tokens. Sums are over the shards of a range, then over ranges, one row for each."""
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda w: F.coalesce(F.sum("tokens").over(before(w)), F.lit(0))
+    ranges = shards.groupBy("part").agg(F.sum("tokens").alias("tokens")).select("part", earlier(Window.orderBy("part")).alias("base"))
+    within = shards.withColumn("at", earlier(Window.partitionBy("part").orderBy("number")))
+    return within.join(ranges, "part").select("name", (F.col("base") + F.col("at")).alias("start"), "tokens")
+
+
+def _named(spark: SparkSession, folder: str) -> DataFrame:
+    """name, content of the shards in a folder."""
+    return contents(spark, folder, "*.wm").select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+
+
+def tokens_at(spark: SparkSession, folder: str, shards: DataFrame, positions: list[int]) -> DataFrame:
+    """position, token for each of the positions, a stated set, among the tokens of all shards; none for one that is past the end.
+
+    Only the shards that hold one of them are read, no more than there are positions.
+    """
+    asked = F.filter(F.array(*map(F.lit, sorted(set(positions)))).cast("array<long>"), lambda p: (p >= F.col("start")) & (p < F.col("start") + F.col("tokens")))
+    here = {r.name: (r.start, r.asked) for r in shard_starts(shards).withColumn("asked", asked).where(F.size("asked") > 0).collect()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column("name").to_pylist(), b.column("content"), strict=True):
+                start, asked = here[name]
+                matrix, _ = load(content.as_buffer())
+                yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array([matrix.access(p - start) for p in asked], pa.int64())], ["position", "token"])
+
+    if not here:
+        return spark.createDataFrame([], "position long, token long")
+    pattern = "{" + ",".join(sorted(here)) + "}"
+    return contents(spark, folder, pattern).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInArrow(run, "position long, token long")
+
+
+def token_counts(spark: SparkSession, folder: str, tokens: list[int]) -> DataFrame:
+    """token, n: how often each of the tokens, a stated set, occurs in all shards of a folder, by rank."""
+    wanted = sorted(set(tokens))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column("content"):
+                matrix, _ = load(content.as_buffer())
+                yield pa.RecordBatch.from_arrays([pa.array(wanted, pa.int64()), pa.array([matrix.rank(t, matrix.n) for t in wanted], pa.int64())], ["token", "n"])
+
+    return _named(spark, folder).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def occurrences(spark: SparkSession, folder: str, shards: DataFrame, token: int) -> DataFrame:
+    """doc_id, position, place for each place of a token: its position among the tokens of all shards, by select, and its place in its document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column("name").to_pylist(), b.column("content"), strict=True):
+                matrix, documents = load(content.as_buffer())
+                at = np.array([matrix.select(token, k) for k in range(matrix.rank(token, matrix.n))], np.int64)
+                starts = np.cumsum([0, *(n for _, n in documents)])
+                doc = np.searchsorted(starts, at, side="right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array([documents[d][0] for d in doc], pa.int64()), pa.array(at), pa.array(at - starts[doc])], ["name", "doc_id", "at", "place"])
+
+    found = _named(spark, folder).mapInArrow(run, "name string, doc_id long, at long, place long")
+    return found.join(shard_starts(shards), "name").select("doc_id", (F.col("start") + F.col("at")).alias("position"), "place")
 
 
 def read_back(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -211,9 +293,5 @@ def read_back(docs: DataFrame, path: str | None = None) -> DataFrame:
     folder, shards = write_shards(docs, path)
     if shards.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    # one row for each shard, of which there is one for SHARD_TOKENS tokens or range
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select("name", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("start"))
-    files = contents(spark, folder, "*.wm").select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    rows = files.mapInArrow(_reader, "name string, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return rows.join(starts, "name").select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    rows = _named(spark, folder).mapInArrow(_reader, "name string, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return rows.join(shard_starts(shards), "name").select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -248,6 +248,31 @@ def test_shards(spark, docs, library):
     assert wavelet.read_back(docs.limit(0)).count() == 0
 
 
+def test_questions_to_shards(spark, docs, library, tmp_path):
+    same = spark.createDataFrame([(7, f"{i % 5} text", "en", 1, "x") for i in range(60)], DOCS)
+    rows = docs.where("doc_id is not null").union(same).repartition(3)
+    folder, shards = wavelet.write_shards(rows, folder=tmp_path.as_uri(), shard_tokens=40)
+    assert shards.count() > shards.select("part").distinct().count()
+    texts = sorted(((r.doc_id, r.text or "") for r in rows.collect()), key=lambda r: (r[0], r[1].encode()))
+    ids = [expected_ids(library, t, wavelet.END_ID).tolist() for _, t in texts]
+    flat = [(d, k, v) for (d, _), x in zip(texts, ids, strict=True) for k, v in enumerate(x)]
+    got = wavelet.tokens_at(spark, folder, shards, [0, 5, len(flat) - 1, len(flat), -1]).collect()
+    assert sorted(map(tuple, got)) == [(p, flat[p][2]) for p in (0, 5, len(flat) - 1)]
+    assert wavelet.tokens_at(spark, folder, shards, []).count() == wavelet.tokens_at(spark, folder, shards.limit(0), [0]).count() == 0
+    wanted = [0, flat[3][2], 50_000]
+    assert {r.token: r.n for r in wavelet.token_counts(spark, folder, wanted).collect()} == {t: sum(v == t for _, _, v in flat) for t in wanted}
+    for t in wanted[:2]:
+        found = sorted(map(tuple, wavelet.occurrences(spark, folder, shards, t).collect()), key=lambda r: r[1])
+        assert found == [(d, p, k) for p, (d, k, v) in enumerate(flat) if v == t]
+
+
+def test_planes_are_opened_when_needed():
+    x = np.arange(1000, dtype="<u4") % 300
+    matrix, documents = wavelet.load(wavelet.dump(x, 16, [(1, 400), (None, 600)]))
+    assert documents == [(1, 400), (None, 600)] and matrix.planes.kept == [None] * 16
+    assert matrix.access(999) == 99 and (matrix.values() == x).all()
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(0)
     for n in (0, 1, 7, 64, 1000):
