@@ -23,8 +23,8 @@ def _byte_letters() -> dict[int, str]:
 
 _AS_LETTERS = _byte_letters()
 _SPACE_LETTER = _AS_LETTERS[32]
-#: Stretches of a generation of the memory, some 80 MB, and the longest that is kept, in characters.
-MEMORY, LONGEST = 500_000, 64
+#: Stretches of a generation of the memory, some 40 MB, and the longest that is kept, in characters.
+MEMORY, LONGEST = 250_000, 64
 
 
 class _Memory(dict):
