@@ -8,17 +8,26 @@ from pyspark.sql import functions as F
 from lanewise.llm.common import drop, spread_join, written
 
 
+#: Rows of which all may meet in one task: some 16 MB.
+FEW = 1 << 20
+
+
+def _joined(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """Edges with what is known of their u; of many edges, the rows of a node with very many neighbours are spread."""
+    return edges.join(least, "u") if total <= FEW else spread_join(edges, least, "u", "__n", total, "v")
+
+
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Each neighbour above u is tied to the smallest of u and its neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.count(F.lit(1)).alias("__n"))
-    return spread_join(both, least, "u", "__n", 2 * total, "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _joined(both, least, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """With u > v in each edge: u and its lower neighbours are tied to the smallest of these."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("__n"))
-    others = spread_join(edges, least, "u", "__n", total, "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    others = _joined(edges, least, total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -27,8 +36,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Edges with a null end and loops are left out; an empty table gives an empty
     result. Every round is an aggregate with map-side combine and a join on the
-    same key, written to the shared folder. The rows of a node with very many
-    neighbours are spread over several tasks, and no group is ever collected.
+    same key, written to the shared folder. Of more than FEW edges the rows of a
+    node with very many neighbours are spread over several tasks, and no group
+    is ever collected.
     """
     now = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
     now = now.select(F.greatest(src, dst).cast("long").alias("u"), F.least(src, dst).cast("long").alias("v")).distinct()

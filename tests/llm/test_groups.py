@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lanewise.llm import common, decontam, embeddings, minhash, toxicity, warc
+from lanewise.llm import common, components, decontam, embeddings, minhash, toxicity, warc
 from lanewise.llm.common import spread_join, written
 from lanewise.llm.components import connected_components
 
@@ -117,7 +117,9 @@ def test_rows_of_hot_keys_are_spread(spark):
     assert sorted(map(str, ((r.i, r.w) for r in left.collect()))) == sorted(str((i, 70 if k == 7 else None)) for i, k in rows)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [1 << 20, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 101), (None, 3), (100, 101)] + [(200, k) for k in range(201, 300)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {i: 0 for i in range(31)} | {100: 100, 101: 100} | {k: 200 for k in range(200, 300)}
