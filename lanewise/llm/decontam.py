@@ -1,10 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages become TF-IDF rows over the words of the benchmark (document
-frequencies counted over the passages of the whole corpus). A randomised SVD of
-a drawn set of the corpus's passages and all of the benchmark's, whose products
-with the row matrix are distributed sums, gives one latent space of RANK
-dimensions, far fewer than rows. Every passage of every document is projected
+frequencies counted over the halves of all passages). A randomised SVD of all
+passages of the corpus and of the benchmark, whose products with the row matrix
+are distributed sums, gives one latent space of RANK dimensions, far fewer than
+rows. Every passage of every document is projected
 and compared by cosine with every benchmark passage, the stated query set.
 Candidates are those over the threshold whose surroundings hold enough words of
 the item; and, as an exact second way, all that share so many words with a
@@ -34,15 +34,16 @@ from lanewise.llm.common import drop, small_batches, utf8, written
 HALF = 32
 #: Dimensions of the latent space, further ones while it is sought, and power steps.
 RANK, OVERSAMPLED, POWERS = 128, 16, 2
-#: Documents (in expectation) whose passages are drawn for the space, and passages at most. Everything else covers all rows.
-DRAWN_DOCS, DRAWN_PASSAGES = 4096, 1 << 15
 COSINE, LCS, ANSWER = 0.5, 0.7, 0.6
 #: The part of an item that counts as its answer.
 ANSWER_PART = 4
 #: Benchmark items of one pass over the corpus and passages of a block of them; halves of text and bytes of words at once: bounds of memory, without effect on what is found.
 ITEMS_AT_ONCE, PASSAGES_AT_ONCE, HALVES_AT_ONCE, BYTES_AT_ONCE = 20_000, 256, 1024, 1 << 20
-#: Halves of which the words are counted at once.
-FEW = 255
+#: Halves of a row of encoded halves, and rows that are multiplied at once.
+FEW, ROWS_AT_ONCE = 255, 16
+#: Words, the most frequent ones of these rows, that are multiplied as dense columns: a matter of speed.
+DENSE = 128
+ENCODED = "half binary, word binary, here binary, after binary, begins binary, counts binary"
 RESULT = "doc_id long, item_id long, cosine double, lcs double, answer double, first_word long, end_word long"
 
 AS_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -79,34 +80,70 @@ def longest_common(item: list[int], region: list[int]) -> int:
 
 
 def _halves(batch: pa.RecordBatch, vocabulary: dict[bytes, int]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Word ids of each text (-1: not in the vocabulary); of all known words their half and id; the first half of each text, with an empty one after each."""
+    """Word ids of each text (-1: not in the vocabulary), and where they are placed."""
     ids = [word_ids(text, vocabulary) for text in batch.column("text").to_pylist()]
+    return ids, *_placed(ids)
+
+
+def _placed(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all known words their half and id; the first half of each text, with an empty one after each."""
     before = np.concatenate([[0], np.cumsum([-(-len(x) // HALF) + 1 for x in ids])]).astype(np.int64)
     at = [np.flatnonzero(x >= 0) for x in ids]
     half = np.concatenate([before[i] + a // HALF for i, a in enumerate(at)]) if at else np.empty(0, np.int64)
     word = np.concatenate([x[a] for x, a in zip(ids, at, strict=True)]) if at else np.empty(0, np.int32)
-    return ids, half.astype(np.int64), word.astype(np.int64), before
+    return half.astype(np.int64), word.astype(np.int32), before
+
 
+def _encoded(half: np.ndarray, word: np.ndarray, before: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of FEW halves and the known words of these and of the half after them, as bytes.
+
+    Of each word its half and id and how often that half and the next one hold
+    it; of each half whether a passage begins with it. To counts are added the
+    halves that hold each word and, in the last two places, all halves and the
+    passages with a known word.
+    """
+    width, last = len(counts) - 2, int(before[-1])
+    begins, known = np.ones(last, bool), np.zeros(last + 1, bool)
+    begins[before[1:] - 1] = False
+    begins[before[1:][np.diff(before) > 2] - 2] = False  # the last half alone only where it is the whole
+    known[half] = True
+    counts[-2:] += last - len(before) + 1, np.count_nonzero(begins & (known[:-1] | known[1:]))
+    kind = np.uint16 if width <= 1 << 16 else np.int32
+    held = np.zeros((FEW + 2) * width, np.uint8)
+    made = []
+    for a in range(0, last, FEW):
+        lo, hi = np.searchsorted(half, [a, a + FEW + 1])
+        if lo < hi:
+            h = half[lo:hi] - a
+            key = h * width + word[lo:hi]
+            np.add.at(held, key, np.uint8(1))
+            counts[:width] += (held[: FEW * width] > 0).reshape(FEW, width).sum(axis=0, dtype=np.uint8)
+            made.append((h.astype(np.uint8), word[lo:hi].astype(kind), held[key], held[key + width], np.packbits(begins[a : a + FEW])))
+            held[key] = 0
+    for some in itertools.batched(made, 64):
+        yield pa.RecordBatch.from_arrays([*(pa.array([x.tobytes() for x in c], pa.binary()) for c in zip(*some, strict=True)), pa.nulls(len(some), pa.binary())], ["half", "word", "here", "after", "begins", "counts"])
+
+
+def _encoder(sent: Broadcast):
+    """Texts -> encoded halves; the last row of a task holds its counts instead."""
 
-def _frequencies(sent: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = sent.value
-        df, total = np.zeros(len(vocabulary), np.int64), 0
-        held = np.zeros((FEW, len(vocabulary)), np.uint8)
+        counts = np.zeros(len(vocabulary) + 2, np.int64)
         for b in batches:
-            ids, half, word, before = _halves(b, vocabulary)
-            cuts = np.searchsorted(half, np.arange(0, int(before[-1]) + FEW, FEW))
-            for k, (lo, hi) in enumerate(itertools.pairwise(cuts)):
-                held[:] = 0  # which of a few halves hold which words; so few that their sum fits the byte
-                held[half[lo:hi] - k * FEW, word[lo:hi]] = 1
-                df += held.sum(axis=0, dtype=np.uint8)
-            total += int(before[-1]) - len(ids)
-        known = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(known, -1)), pa.array(np.append(df[known], total))], ["w", "n"])
+            yield from _encoded(*_halves(b, vocabulary)[1:], counts)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.binary())] * 5, pa.array([counts.tobytes()], pa.binary())], ["half", "word", "here", "after", "begins", "counts"])
 
     return run
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for one in b.column("counts"):
+            n = np.frombuffer(one.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], ["w", "n"])
+
+
 def _passages(words: np.ndarray) -> list[np.ndarray]:
     """Two halves from every half on, the last half alone only where it is the whole."""
     return [words[a : a + 2 * HALF] for a in range(0, max(1, len(words) - HALF), HALF)]
@@ -120,49 +157,82 @@ def _weighted(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return w, x / max(float(np.sqrt(x @ x)), 1e-12)
 
 
-def _rows(sent: Broadcast):
-    """Texts -> TF-IDF rows of their passages, with a number by which some are drawn."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, idf = sent.value
-        for b in batches:
-            for seed, text in zip(b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True):
-                rows = [_weighted(p, idf) for p in _passages(word_ids(text, vocabulary))]
-                draw = np.random.default_rng(seed & (1 << 63) - 1).random(len(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(draw), pa.array([w for w, _ in rows], pa.list_(pa.int32())), pa.array([x for _, x in rows], pa.list_(pa.float64()))], ["draw", "i", "x"])
-
-    return run
-
+def _add_product(out: np.ndarray, rows: pa.RecordBatch, q: np.ndarray, idf: np.ndarray) -> None:
+    """Add C^T N C q to out: C the word counts of the passages of encoded halves, N the inverse squares of their TF-IDF lengths.
 
-def randomised_svd(rows: DataFrame, width: int, rank: int, seed: int = 11) -> np.ndarray:
-    """Leading right singular vectors (width x rank) of the sparse rows (i array<int>, x array<double>), orthonormal.
-
-    A power step is A^T (A Q): each partition sums it over its rows, the sums
-    are added up word by word, and only a width x (rank + few) matrix comes to
-    the driver; the width is the number of words of the benchmark.
+    A passage is the sum of two halves, so that each word of a half is taken
+    up once for both passages that hold it.
+    """
+    read = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in rows.column(name)]
+    half = np.concatenate([h.astype(np.int64) + i * (FEW + 1) for i, h in enumerate(read("half", np.uint8))])
+    word = np.concatenate(read("word", np.uint16 if len(q) <= 1 << 16 else np.int32))
+    begins = np.zeros((rows.num_rows, FEW + 1), bool)
+    for i, bits in enumerate(read("begins", np.uint8)):
+        some = np.unpackbits(bits)[:FEW]
+        begins[i, : len(some)] = some
+    n, square = begins.size, idf[word] ** 2
+    length = np.bincount(half, np.concatenate(read("here", np.uint8)) * square, n + 1)
+    length = length[:-1] + length[1:] + 2 * np.bincount(half, np.concatenate(read("after", np.uint8)) * square, n)
+    weight = np.where(begins.ravel() & (length > 0), 1 / np.maximum(length, 1e-24), 0).astype(q.dtype)
+
+    dense = np.argsort(-np.bincount(word, minlength=len(q)), kind="stable")[:DENSE]
+    column = np.full(len(q), -1)
+    column[dense] = np.arange(len(dense))
+    at = column[word]
+    rest = at < 0
+    often = np.zeros(n * len(dense), q.dtype)
+    np.add.at(often, half[~rest] * len(dense) + at[~rest], q.dtype.type(1))
+    often = often.reshape(n, len(dense))
+    half, word = half[rest], word[rest]
+
+    sums = often @ q[dense]
+    starts = np.flatnonzero(np.diff(half, prepend=-1))
+    sums[half[starts]] += _sums(q, word, starts)
+    sums[:-1] += sums[1:]
+    sums *= weight[:, None]
+    sums[1:] += sums[:-1].copy()
+
+    out[dense] += often.T @ sums
+    order = np.argsort(word, kind="stable")
+    half, word = half[order], word[order]
+    starts = np.flatnonzero(np.diff(word.astype(np.int64), prepend=-1))
+    out[word[starts]] += _sums(sums, half, starts)
+
+
+def latent_space(rows: DataFrame, own: list[pa.RecordBatch], idf: np.ndarray, rank: int, seed: int = 11) -> np.ndarray:
+    """Leading right singular vectors (words x rank), orthonormal, of the TF-IDF rows, of length one, of all passages of encoded halves.
+
+    Randomised SVD: a power step is A^T (A Q); each partition sums it over its
+    passages, the sums are added up word by word, and only a matrix of the
+    words by rank + OVERSAMPLED comes to the driver, which adds the product of
+    its own rows, those of the benchmark.
     """
-    size = min(width, rank + OVERSAMPLED)
-    spark = rows.sparkSession
-    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, size)))[0]
+    spark, width = rows.sparkSession, len(idf)
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, min(width, rank + OVERSAMPLED))))[0]
 
     def product(q: np.ndarray) -> np.ndarray:
-        sent = spark.sparkContext.broadcast(q)
+        weighted = (idf[:, None] * q).astype(np.float32)
+        sent = spark.sparkContext.broadcast((weighted, idf))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q = sent.value
-            out = np.zeros_like(q)
+            weighted, idf = sent.value
+            out = np.zeros(weighted.shape)
             for b in batches:
-                for i, x in zip(b.column("i").to_pylist(), b.column("x").to_pylist(), strict=True):
-                    out[i] += np.outer(x, np.asarray(x) @ q[i])
+                for a in range(0, b.num_rows, ROWS_AT_ONCE):
+                    _add_product(out, b.slice(a, ROWS_AT_ONCE), weighted, idf)
             used = np.flatnonzero(out.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(list(out[used]), pa.list_(pa.float64()))], ["c", "y"])
-
-        summed = rows.mapInArrow(run, "c long, y array<double>").groupBy("c").agg(*(F.sum(F.col("y")[k]).alias(f"y{k}") for k in range(q.shape[1])))
-        got = summed.toPandas().sort_values("c")
+            sums = pa.ListArray.from_arrays(np.arange(len(used) + 1, dtype=np.int32) * out.shape[1], out[used].ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(used), sums], ["c", "y"])
+
+        full = np.zeros(q.shape)
+        for b in own:
+            for a in range(0, b.num_rows, ROWS_AT_ONCE):
+                _add_product(full, b.slice(a, ROWS_AT_ONCE), weighted, idf)
+        summed = rows.where("counts IS NULL").mapInArrow(run, "c long, y array<double>").groupBy("c").agg(*(F.sum(F.col("y")[k]).alias(f"y{k}") for k in range(q.shape[1])))
+        got = summed.toPandas()
         sent.unpersist()
-        full = np.zeros_like(q)
-        full[got["c"].to_numpy(np.int64)] = got.drop(columns="c").to_numpy()
-        return full
+        full[got["c"].to_numpy(np.int64)] += got.drop(columns="c").to_numpy()
+        return idf[:, None] * full
 
     for _ in range(POWERS):
         q = np.linalg.qr(product(q))[0]
@@ -275,6 +345,12 @@ def _candidates(fit: _Fit, half: np.ndarray, word: np.ndarray) -> Iterator[tuple
             around = _shared(block, np.concatenate([h // reach, np.maximum(h // reach - 1, 0)]), np.concatenate([w, w]), int(at[-1]) // reach + 2)
             cosine = both @ block.latent.T
             rows, found = np.nonzero((shared >= block.least) | ((cosine >= COSINE) & (around[stretch] >= block.around)))
+            some, place = np.unique(rows, return_inverse=True)
+            begin, end = np.searchsorted(h, at[own][some] - before + [[0], [reach]])
+            group = np.repeat(np.arange(len(some)), end - begin)
+            there = np.arange(len(group)) + np.repeat(begin - np.cumsum(end - begin) + end - begin, end - begin)
+            closely = _shared(block, group, w[there], len(some))[place, found] >= block.around[found]  # the region itself, not the stretches it lies in
+            rows, found = rows[closely], found[closely]
             near.append(np.stack([at[own][rows] + first, block.owner[found]]))
             shares.append(cosine[rows, found])
         pairs, cosines = np.concatenate(near, axis=1), np.concatenate(shares)
@@ -285,7 +361,8 @@ def _candidates(fit: _Fit, half: np.ndarray, word: np.ndarray) -> Iterator[tuple
 def _shared(block: _Block, group: np.ndarray, word: np.ndarray, groups: int) -> np.ndarray:
     """Words of each passage that each group of words holds; one that a group holds twice counts once."""
     row = block.row[word]
-    once = np.unique(group[row >= 0] * len(block.counts) + row[row >= 0])
+    once = np.sort(group[row >= 0] * len(block.counts) + row[row >= 0])
+    once = once[np.diff(once, prepend=-1) > 0]
     at, starts = np.unique(once // len(block.counts), return_index=True)
     out = np.zeros((groups, block.counts.shape[1]), np.int32)
     out[at] = _sums(block.counts, once % len(block.counts), starts)
@@ -340,31 +417,20 @@ def _fitted(texts: DataFrame, items: list[tuple[int | None, list[bytes]]]) -> li
     send = texts.sparkSession.sparkContext.broadcast
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, words in items for w in words}))}
     ids = [[vocabulary[w] for w in words] for _, words in items]
-    counted = {r.w: r.n for r in texts.select("text").mapInArrow(_frequencies(send(vocabulary)), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
-    total = counted.pop(-1, 0)
-    df = np.array([counted.get(i, 0) for i in range(len(vocabulary))])
+    rows = written(texts.select("text").mapInArrow(_encoder(send(vocabulary)), ENCODED), "halves")
+    counted = {r.w: r.n for r in rows.where("counts IS NOT NULL").select("counts").mapInArrow(_counts, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
+    *df, total, passages = (counted.get(i, 0) for i in range(len(vocabulary) + 2))
+    df = np.array(df)
     # no word that the corpus holds is without weight, however frequent; one it doesn't hold can't be found and would only dilute its item
     idf = np.where(df > 0, np.log((1 + total) / (1 + df)) + 1, 0)
-    space = latent_space(texts, vocabulary, idf, [_weighted(p, idf) for words in ids for p in _passages(np.array(words))])
+    counts = np.zeros(len(vocabulary) + 2, np.int64)
+    own = list(_encoded(*_placed([np.where(df[x] > 0, x, -1) for x in map(np.array, ids)]), counts))
+    space = latent_space(rows, own, idf, max(1, min(RANK, (passages + int(counts[-1])) // 4)))
+    drop(rows)
     latent = (idf[:, None] * space).astype(np.float32)
     return [send(_Fit(vocabulary, latent, _blocks(ids[a : a + ITEMS_AT_ONCE], idf, space), [(i, w) for (i, _), w in zip(items[a : a + ITEMS_AT_ONCE], ids[a : a + ITEMS_AT_ONCE], strict=True)])) for a in range(0, len(items), ITEMS_AT_ONCE)]
 
 
-def latent_space(texts: DataFrame, vocabulary: dict[bytes, int], idf: np.ndarray, more: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Words x RANK (of few rows, at most a quarter of them): the leading directions of drawn passages of texts and of further rows."""
-    spark = texts.sparkSession
-    n = texts.count()
-    hashed = texts.select(F.xxhash64("doc_id", "text").alias("h"), "text")
-    some = hashed.where(F.pmod("h", F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, DRAWN_DOCS / max(n, 1)))))
-    drawn = some.mapInArrow(_rows(spark.sparkContext.broadcast((vocabulary, idf))), "draw double, i array<int>, x array<double>").where(F.size("i") > 0)
-    drawn = drawn.orderBy("draw").limit(DRAWN_PASSAGES).select("i", "x")
-    own = spark.createDataFrame([(w.tolist(), x.tolist()) for w, x in more if len(w)], "i array<int>, x array<double>")
-    rows = written(drawn.union(own).repartition(8), "passages")
-    space = randomised_svd(rows, len(vocabulary), max(1, min(RANK, rows.count() // 4)))
-    drop(rows)
-    return space
-
-
 def _blocks(items: list[list[int]], idf: np.ndarray, space: np.ndarray) -> list[_Block]:
     passages = [(k, p) for k, words in enumerate(items) for p in _passages(np.array(words)) if idf[p].any()]
     out = []
