@@ -249,6 +249,22 @@ def test_more_passages_than_dimensions(spark, monkeypatch):
     assert not {(k, k) for k in range(len(items))} - found
 
 
+def _share_of_best(fit, texts, items):
+    """What the fitted space holds of all passages' TF-IDF rows, as a share of what the best one of its size holds."""
+    docs = [decontam.word_ids(t.encode(), fit.vocabulary) for t in texts]
+    held = np.array([np.isin(np.arange(len(fit.vocabulary)), x[a : a + decontam.HALF]) for x in docs for a in range(0, len(x), decontam.HALF)])
+    idf = np.where(held.any(axis=0), np.log((1 + len(held)) / (1 + held.sum(axis=0))) + 1, 0)
+    whole = np.zeros((len(idf), len(idf)))
+    for x in [*docs, *(np.array([fit.vocabulary[w] for w in words]) for _, words in items)]:
+        for p in decontam._passages(x):
+            w, weight = decontam._weighted(p, idf)
+            whole[np.ix_(w, w)] += np.outer(weight, weight)
+    space = fit.latent[idf > 0] / idf[idf > 0, None]
+    whole = whole[np.ix_(idf > 0, idf > 0)]
+    assert space.shape[1] == decontam.RANK and np.allclose(space.T @ space, np.eye(decontam.RANK), atol=1e-5)
+    return np.trace(space.T @ whole @ space) / np.linalg.eigvalsh(whole)[-decontam.RANK :].sum()
+
+
 def test_latent_space_of_all_passages(spark, monkeypatch):
     monkeypatch.setattr(decontam, "RANK", 8)
     monkeypatch.setattr(decontam, "OVERSAMPLED", 100)  # all dimensions, so that the space is exact
@@ -259,28 +275,21 @@ def test_latent_space_of_all_passages(spark, monkeypatch):
     items = [list(rng.choice(vocabulary, 30)) for _ in range(12)] + [["nowhere"] * 3 + vocabulary[:4]]
     sizes = [0, 1, 31, 32, 33, 63, 64, 65, 96, 97, 700, 20_000, *rng.integers(0, 300, 200)]
     texts = [" ".join(w if rng.random() < 0.7 else "other" for w in rng.choice(vocabulary, n, p=np.roll(share, k) / share.sum())) for k, n in enumerate(sizes)]
-    df = spark.createDataFrame([(k, bytearray(t.encode())) for k, t in enumerate(texts)], "doc_id long, text binary").repartition(5)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
-
     made = decontam._items(bench)
-    known = {w: i for i, w in enumerate(sorted({w for _, words in made for w in words}))}
-    docs = [decontam.word_ids(t.encode(), known) for t in texts]
-    held = np.array([np.isin(np.arange(len(known)), x[a : a + decontam.HALF]) for x in docs for a in range(0, len(x), decontam.HALF)])
-    idf = np.where(held.any(axis=0), np.log((1 + len(held)) / (1 + held.sum(axis=0))) + 1, 0)
-    whole = np.zeros((len(known), len(known)))
-    for x in [*docs, *(np.array([known[w] for w in words]) for _, words in made)]:
-        for p in decontam._passages(x):
-            w, weight = decontam._weighted(p, idf)
-            whole[np.ix_(w, w)] += np.outer(weight, weight)
-
-    for dense in (decontam.DENSE, 5) if hasattr(decontam, "DENSE") else (0,):
+    for dense in (128, 5):
         monkeypatch.setattr(decontam, "DENSE", dense, raising=False)
-        (sent,) = decontam._fitted(df, made)
-        assert sent.value.vocabulary == known
-        space = sent.value.latent[idf > 0] / idf[idf > 0, None]
-        part = whole[np.ix_(idf > 0, idf > 0)]
-        assert space.shape[1] == 8 and np.allclose(space.T @ space, np.eye(8), atol=1e-5)
-        assert abs(np.trace(space.T @ part @ space) / np.linalg.eigvalsh(part)[-8:].sum() - 1) < 1e-5
+        (sent,) = decontam._fitted(df.select("doc_id", common.utf8().alias("text")), made)
+        assert abs(_share_of_best(sent.value, texts, made) - 1) < 1e-5
+
+    # the pipeline's stage searches with the same space
+    used, holds = [], decontam._holds_item
+    monkeypatch.setattr(decontam, "_holds_item", lambda sent: used.append(sent.value) or holds(sent))
+    monkeypatch.setattr(corpus_pipeline, "table", lambda spark, sf_dir, name: bench)
+    left = {r.doc_id for r in corpus_pipeline.decontamination(spark, df, "").collect()}
+    assert left == set(range(len(texts))) - {r.doc_id for r in decontam.leaks(df, bench).collect()}
+    assert len(used) == 1 and abs(_share_of_best(used[0], texts, made) - 1) < 1e-5
 
 
 def test_frequent_words_among_rare_ones_of_other_items(spark):
