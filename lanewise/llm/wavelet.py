@@ -27,6 +27,8 @@ from lanewise.llm.files import contents, put
 from lanewise.llm.tokens import default_path, encoder
 
 MAGIC, END_ID, BLOCK = b"LWWM0001", 0, 64
+#: Elements that are put back at once, few enough for a processor's cache; whole bytes of a plane.
+PIECE = 1 << 16
 #: Tokens after which a task begins its next shard, at the end of a document.
 SHARD_TOKENS = 1 << 21
 
@@ -50,26 +52,36 @@ class WaveletMatrix:
         now = values.astype(np.uint16 if bits <= 16 else np.uint32)
         planes, zeros = [], []
         for level in range(bits - 1, -1, -1):
-            planes.append(np.packbits((now & now.dtype.type(1 << level)) != 0, bitorder="little"))
-            low, high = _parted(now, planes[-1])
-            zeros.append(len(low))
-            now = np.concatenate([low, high])
+            if level == 7:
+                now = now.astype(np.uint8)  # higher bits are on their planes
+            ones = now & now.dtype.type(1 << level)
+            planes.append(np.packbits(ones if level < 8 else ones != 0, bitorder="little"))
+            if level:
+                low, high = _parted(now, planes[-1])
+                zeros.append(len(low))
+                now = np.concatenate([low, high])
+            else:  # nothing follows
+                zeros.append(len(now) - int(np.count_nonzero(ones)))
         return cls(len(values), planes, zeros)
 
     def values(self) -> np.ndarray:
-        """The whole sequence: the planes undone from the lowest upwards."""
-        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
-        now = np.zeros(self.n, kind)
-        for level, (plane, zero) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
-            ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
-            out = np.empty(self.n, kind)
-            rest = ~ones
-            if min(zero, self.n - zero) * 8 > self.n:  # positions are faster than masks where bits are mixed
-                ones, rest = np.flatnonzero(ones), np.flatnonzero(rest)
-            out[rest] = now[:zero]
-            out[ones] = now[zero:] | kind(1 << level)
+        """The whole sequence: the planes undone from the lowest upwards, in as few bytes as have bits by then."""
+        lowest, *planes = reversed(self.planes)
+        now = np.unpackbits(lowest, count=self.n, bitorder="little")
+        for level, (plane, zero) in enumerate(zip(planes, reversed(self.zeros[:-1]), strict=True), 1):
+            if level in (8, 16):
+                now = now.astype(np.uint16 if level == 8 else np.uint32)
+            now[zero:] |= now.dtype.type(1 << level)
+            out = np.empty_like(now)
+            low, high = 0, zero
+            for a in range(0, self.n, PIECE):
+                ones = np.unpackbits(plane[a // 8 : (a + PIECE) // 8], count=min(PIECE, self.n - a), bitorder="little").view(bool)
+                ones, rest = np.flatnonzero(ones), np.flatnonzero(~ones)
+                part = out[a : a + PIECE]
+                part[rest], part[ones] = now[low : low + len(rest)], now[high : high + len(ones)]
+                low, high = low + len(rest), high + len(ones)
             now = out
-        return now
+        return now.astype(np.uint16 if len(self.planes) <= 16 else np.uint32, copy=False)
 
     def _ones(self, level: int, i: int) -> int:
         """Ones of a plane before position i."""

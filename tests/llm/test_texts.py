@@ -273,6 +273,23 @@ def test_planes_are_opened_when_needed():
     assert matrix.access(999) == 99 and (matrix.values() == x).all()
 
 
+def test_wavelet_matrix_in_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    parted = []
+    real = wavelet._parted
+    monkeypatch.setattr(wavelet, "_parted", lambda *a: parted.append(1) or real(*a))
+    for piece in (64, 1 << 16):
+        monkeypatch.setattr(wavelet, "PIECE", piece, raising=False)
+        for bits in (1, 2, 7, 8, 9, 16, 17, 20):
+            for n in (0, 1, 63, 64, 65, 1000):
+                x = rng.integers(0, 1 << bits, n, dtype=np.uint32) >> rng.integers(0, bits)
+                parted.clear()
+                m, _ = wavelet.load(wavelet.dump(x, bits, [(1, n)]))
+                assert len(parted) == bits - 1  # no element is moved after the lowest plane, which nothing follows
+                assert m.values().tolist() == x.tolist() == [m.access(i) for i in range(n)]
+                assert m.zeros[-1] == int((x & 1 == 0).sum())
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(0)
     for n in (0, 1, 7, 64, 1000):
